@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op2_line_dedup": line_dedup.op2_line_dedup}
+    return {"op2_line_dedup": line_dedup.op2_line_dedup, "op3_mixing": mixing.op3_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
