@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import bpe, line_dedup, mixing, sharding
 
 
 def queries() -> dict:
-    return {"op2_line_dedup": line_dedup.op2_line_dedup, "op3_mixing": mixing.op3_mixing}
+    return {"op2_line_dedup": line_dedup.op2_line_dedup, "op3_mixing": mixing.op3_mixing, "op4_sharding": sharding.op4_sharding, "op5_byte_bpe": bpe.op5_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
