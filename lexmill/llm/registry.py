@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, sharding
+from . import bpe, licenses, line_dedup, mixing, secrets, sharding
 
 
 def queries() -> dict:
-    return {"op2_line_dedup": line_dedup.op2_line_dedup, "op3_mixing": mixing.op3_mixing, "op4_sharding": sharding.op4_sharding, "op5_byte_bpe": bpe.op5_byte_bpe}
+    return {"op1_license_scan": licenses.op1_license_scan, "op2_line_dedup": line_dedup.op2_line_dedup, "op3_mixing": mixing.op3_mixing, "op4_sharding": sharding.op4_sharding, "op5_byte_bpe": bpe.op5_byte_bpe, "op8_secret_scan": secrets.op8_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.OP2_SQL}
+    return {"op1_license_scan": licenses.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op8_secret_scan": secrets.OP8_SQL}
