@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, line_dedup, mixing, secrets, sharding
+from . import bpe, licenses, line_dedup, mixing, quality, secrets, sharding
 
 
 def queries() -> dict:
-    return {"op1_license_scan": licenses.op1_license_scan, "op2_line_dedup": line_dedup.op2_line_dedup, "op3_mixing": mixing.op3_mixing, "op4_sharding": sharding.op4_sharding, "op5_byte_bpe": bpe.op5_byte_bpe, "op8_secret_scan": secrets.op8_secret_scan}
+    return {"op1_license_scan": licenses.op1_license_scan, "op2_line_dedup": line_dedup.op2_line_dedup, "op3_mixing": mixing.op3_mixing, "op4_sharding": sharding.op4_sharding, "op5_byte_bpe": bpe.op5_byte_bpe, "op7_quality_rules": quality.op7_quality_rules, "op8_secret_scan": secrets.op8_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op8_secret_scan": secrets.OP8_SQL}
+    return {"op1_license_scan": licenses.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op7_quality_rules": quality.OP7_SQL, "op8_secret_scan": secrets.OP8_SQL}
