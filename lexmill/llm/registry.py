@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, licenses, line_dedup, mixing, quality, secrets, sharding
+from . import bpe, fingerprints, licenses, line_dedup, mixing, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
-    return {"op1_license_scan": licenses.op1_license_scan, "op2_line_dedup": line_dedup.op2_line_dedup, "op3_mixing": mixing.op3_mixing, "op4_sharding": sharding.op4_sharding, "op5_byte_bpe": bpe.op5_byte_bpe, "op7_quality_rules": quality.op7_quality_rules, "op8_secret_scan": secrets.op8_secret_scan, "op9_fingerprints": fingerprints.op9_fingerprints}
+    return {"op1_license_scan": licenses.op1_license_scan, "op2_line_dedup": line_dedup.op2_line_dedup, "op3_mixing": mixing.op3_mixing, "op4_sharding": sharding.op4_sharding, "op5_byte_bpe": bpe.op5_byte_bpe, "op7_quality_rules": quality.op7_quality_rules, "op8_secret_scan": secrets.op8_secret_scan, "op9_fingerprints": fingerprints.op9_fingerprints, "op10_toxicity": toxicity.op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
