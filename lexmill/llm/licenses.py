@@ -4,8 +4,10 @@ A text's units are its lines and its paragraphs (between empty lines), the whole
 paragraph. A unit is normalised (letters A-Z lower-cased, everything but letters, digits and dots between words dropped)
 and becomes a set of word bigrams. With a bigrams against a template's b the Dice coefficient is 2 * shared / (a + b), so it can
 reach t only where t / (2 - t) <= a / b <= (2 - t) / t: templates outside that range are never compared, and a unit
-whose count is outside all ranges is dropped before its bigrams are made. What is left meets the templates by an
-equi-join on the bigram; templates are a fixed list, a few hundred bigrams that are broadcast.
+whose count is outside all ranges is dropped before its bigrams are made. The same bounds say that a match shares t / (2 - t) of
+the template's bigrams at least, so that it has one of any few words that cover the rest and one more: texts and units with none of
+these are dropped by one search. What is left meets the templates by an equi-join on the bigram; templates are a
+fixed list, a few hundred bigrams that are broadcast.
 
 Defined results: null, empty or wordless texts match nothing; a unit of one word has no bigram and matches nothing; of templates
 with equal Dice the first by name is the document's best; repeated rows get the same results; an empty table gives no
@@ -14,6 +16,9 @@ rows. Other columns pass through `scan`, whatever their names, but for those tha
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,18 +58,39 @@ def template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return rows.select("license", bigrams(normal_words(F.col("text"))).alias("bigrams")).filter(F.size("bigrams") > 0)
 
 
+def anchors(known: dict[str, list[str]], low: float) -> list[str]:
+    """Words of which every match has one: for each template words that cover all but ceil(low * b) - 1 of its bigrams."""
+    chosen: set[str] = set()
+    for _, pairs in sorted(known.items()):
+        open_pairs, spare = [set(p.split(" ")) for p in pairs], math.ceil(low * len(pairs) - 1e-9) - 1
+        open_pairs = [p for p in open_pairs if not p & chosen]
+        while len(open_pairs) > spare:
+            words = Counter(w for p in open_pairs for w in p if w.isalpha())
+            if not words:
+                return []
+            # Long words first: short ones are those that all texts have.
+            best = max(words, key=lambda w: (len(w) > 4, words[w], len(w), w))
+            chosen.add(best)
+            open_pairs = [p for p in open_pairs if best not in p]
+    return sorted(chosen)
+
+
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, __row, license, dice: each licence that some unit of the row reaches, with the unit's Dice coefficient."""
     spark = docs.sparkSession
     known = template_rows(spark, templates or TEMPLATES)
-    sizes = [r[0] for r in known.select(F.size("bigrams")).collect()]  # as many as the list of templates
+    listed = {r["license"]: r["bigrams"] for r in known.collect()}  # as many as the list of templates
+    sizes = [len(pairs) for pairs in listed.values()]
     low, high = least / (2 - least), (2 - least) / least
+    words = anchors(listed, low)
+    hint = rf"(?<![A-Za-z0-9])(?i:{'|'.join(words)})(?![A-Za-z0-9])" if words else ""
+    docs = docs.filter(F.col("text").rlike(hint))
     lines = F.split("text", "\n", -1)
     paragraphs = F.split("text", r"\n[\x20\x09-\x0D]*\n", -1)
     units = docs.filter(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.concat(lines, paragraphs))).alias("unit"))
     # Before any word is made out: a template of b bigrams has a counterpart of b * low + 1 words at least.
     shortest = int(min(sizes) * low) + 1
-    units = units.filter(F.length("unit") >= 2 * shortest - 1).select("doc_id", normal_words(F.col("unit")).alias("words"))
+    units = units.filter((F.length("unit") >= 2 * shortest - 1) & F.col("unit").rlike(hint)).select("doc_id", normal_words(F.col("unit")).alias("words"))
     in_words = F.lit(False)
     for b in sorted(set(sizes)):  # a words make a - 1 bigrams at most; repeats make it fewer
         in_words = in_words | (F.size("words") - 1 >= b * low)
