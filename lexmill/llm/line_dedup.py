@@ -112,7 +112,7 @@ def signed(h: int) -> int:
 
 
 def drop_list(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> DataFrame:
-    """owner, and the keys whose lines that document loses."""
+    """__owner (the doc_id, LAST for null) and __gone, the keys whose lines that document loses."""
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("owner"), "text")
     bounds = ids.agg(F.percentile_approx("owner", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
@@ -146,6 +146,7 @@ def drop_list(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> Dat
         .filter(F.col("first").isNull() | (F.col("owner") != F.col("first")))
         .groupBy("owner")
         .agg(F.collect_set(F.struct(lines.k1, lines.k2)).alias("gone"))
+        .select(F.col("owner").alias("__owner"), F.col("gone").alias("__gone"))
     )
 
 
@@ -159,10 +160,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
         return kept_lines(text, k1, k2, min_chars)
 
     keyed = docs.select(*rest, text_or_empty().alias("__t"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("__o"))
-    joined = keyed.join(gone, F.col("__o") == F.col("owner"), "left")
+    joined = keyed.join(gone, F.col("__o") == F.col("__owner"), "left")
     lines = (F.length("__t") - F.length(F.translate("__t", "\n", "")) + 1).cast("long").alias("n_lines")
-    whole = joined.filter(F.col("gone").isNull()).select(*rest, F.col("__t").alias("text"), lines, F.lit(0).cast("long").alias("n_dropped"))
-    some = joined.filter(F.col("gone").isNotNull()).select(*rest, lines, without("__t", F.col("gone.k1"), F.col("gone.k2")).alias("__r"))
+    whole = joined.filter(F.col("__gone").isNull()).select(*rest, F.col("__t").alias("text"), lines, F.lit(0).cast("long").alias("n_dropped"))
+    some = joined.filter(F.col("__gone").isNotNull()).select(*rest, lines, without("__t", F.col("__gone.k1"), F.col("__gone.k2")).alias("__r"))
     some = some.select(*rest, F.col("__r.text").alias("text"), "n_lines", F.col("__r.n").alias("n_dropped"))
     return whole.unionByName(some)
 

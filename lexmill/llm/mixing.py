@@ -11,8 +11,8 @@ A source's taken words so differ from its target by less than the size of one ro
 doc_id, text, seed and level: reruns agree.
 
 Defined results: null or wordless texts have size 0 and take 0 words; a source without words has target 0; null sources
-are one source, the last; repeated rows are rounded one by one; an empty table gives no rows. Other columns pass through
-`mix`, whatever their names, but for those that it returns.
+are one source, the last; repeated rows are rounded one by one; an empty table gives no rows. `mix` returns its own columns
+alone; `taken_rows` returns those of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def fold(rows: Column, seed: int, level: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17, fan: int = 64) -> DataFrame:
-    """docs with size, source_size, target, copies (0, 1 or 2) and taken (copies times size).
+    """doc_id, mark (a hash of the text), source, size, source_size, target, copies (0, 1 or 2) and taken (copies times size).
 
     Sources by code point, null last, have the given weights in turn and share `share` of all words, none more than
     `most` (2 at most) times its own.

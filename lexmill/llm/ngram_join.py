@@ -16,8 +16,8 @@ links. MinHash only makes groups, finds easy links early and saves work: links d
 
 Defined results: null and wordless texts have an empty set and link with nothing; texts of fewer than five words have their whole
 sequence as one shingle; rows that share a doc_id are one node; rows with a null doc_id are linked with nothing and have a null
-component; a lone document is its own component; an empty table gives no rows. Other columns pass through `link`,
-whatever their names, but for those that it returns.
+component; a lone document is its own component; an empty table gives no rows. Other columns of the input are not looked at;
+`keep_one` returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -341,7 +341,7 @@ def open_groups(docs: DataFrame, placed: DataFrame, wanted: DataFrame) -> DataFr
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """docs without text, with n_shingles and component_id."""
+    """doc_id, n_shingles and component_id of each row."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     signed = cut(sign(texts), "signed")

@@ -115,8 +115,10 @@ def judge(measured: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass."""
-    return judge(measure(docs)).filter("kept").select(*docs.columns)
+    """The documents that pass, with the columns that they came with, whatever their names."""
+    own = {c: "text" if c == "text" else f"__c{i}" for i, c in enumerate(docs.columns)}
+    judged = judge(measure(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))))
+    return judged.filter("kept").select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

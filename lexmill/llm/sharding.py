@@ -11,8 +11,8 @@ The seeded hash is that of the text, then of doc_id: rows of a source with equal
 a shard unless a cut falls among them. The law on rows comes first: a group larger than a shard fills several.
 
 Defined results: a null text has size 8 and the CRC of no bytes, 0; null sources are one source; repeated rows are
-ranked in some order of their own, which changes no count; an empty table gives no rows. Other columns pass through
-`shard_rows`, whatever their names, but for those that it returns.
+ranked in some order of their own, which changes no count; an empty table gives no rows. Other columns of the input
+are not looked at.
 """
 
 from __future__ import annotations
