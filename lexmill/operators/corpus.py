@@ -57,17 +57,21 @@ def rubric(rows: DataFrame, text: str, by: str, top: int = 6) -> DataFrame:
     return ranked.filter(F.col("place") <= top).select(by, "category", F.round("rate", 9).alias("rate"), band(F.col("rate")).alias("band"), "place")
 
 
-def numbers(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d[\d,.]*"), F.lit(0)))
+# Amounts, counts and percentages as they are compared; any run of digits as it must be kept.
+FIGURE, DIGITS = r"\$[\d,]+(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?%?\b", r"\d[\d,.]*\d|\d"
+
+
+def numbers(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
 def number_recall(reference: Column, hypothesis: Column) -> Column:
-    ref, hyp = numbers(reference), numbers(hypothesis)
+    ref, hyp = numbers(reference, FIGURE), numbers(hypothesis, FIGURE)
     return F.when(F.size(ref) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(ref, hyp)) / F.size(ref))
 
 
 def preserves_figures(before: Column, after: Column) -> Column:
-    return F.size(F.array_except(numbers(before), numbers(after))) == 0
+    return F.size(F.array_except(numbers(before, DIGITS), numbers(after, DIGITS))) == 0
 
 
 def longest_common(a: list[str], b: list[str]) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import REDACTION, replace_nth
+from ..functions.text import replace_nth
 
 # Titles of items, and the item to which a cross-reference points if it is selected, in order of preference.
 ITEM_TITLES = {
@@ -20,6 +20,8 @@ ITEM_TITLES = {
 }
 
 
+#: Marks of redaction that must not be left.
+LEAK = r"\[REDACTED\]|[▀-▟■-◿]{2,}|\*{3,}"
 COMPANIONS = {"3.02": ["1.01", "2.03", "2.01"], "2.01": ["1.01"], "2.03": ["1.01"]}
 
 
@@ -140,7 +142,7 @@ def compliance_flags(item: Column, disclosure: Column) -> Column:
     low = F.lower(disclosure)
     words = F.size(F.filter(F.split(disclosure, r"\s+"), lambda w: w != ""))
     flag = lambda name, ok: F.struct(F.lit(name).alias("requirement"), ok.alias("satisfied"))
-    closing = [flag("exhibit incorporation-by-reference", F.contains(low, F.lit("qualified in its entirety"))), flag("no unresolved redaction markers", ~disclosure.rlike(REDACTION))]
+    closing = [flag("exhibit incorporation-by-reference", F.contains(low, F.lit("qualified in its entirety"))), flag("no unresolved redaction markers", ~disclosure.rlike(LEAK))]
     agreement = [
         flag("(a) date of agreement", disclosure.rlike(r"\b[A-Z][a-z]+ \d{1,2}, \d{4}\b")),
         flag("(b) parties identified", F.contains(low, F.lit(" between ")) | F.contains(low, F.lit(" with "))),

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import boilerplate as B
+from ..functions import ranking
 from ..functions import text as X
 from ..functions.facts import extract
-from ..operators import access, corpus, filing, reconcile, review, search, state
+from ..operators import access, corpus, export, filing, reconcile, review, search, state
 from ..sources import tables as S
 from ..sources.tables import CLAUSES, GRANTS, KB, PAIRS
 
@@ -339,7 +342,7 @@ def subset_filter(spark, sf):
     return corpus.usable(S.pairs(spark, sf), 20, 30, 12_000).select("conv_id", "turn")
 
 
-_NUMS = "list_distinct(regexp_extract_all({0}, '\\d[\\d,.]*'))"
+_NUMS = "list_distinct(regexp_extract_all({0}, '\\$[\\d,]+(?:\\.\\d+)?|\\b\\d[\\d,]*(?:\\.\\d+)?%?\\b'))"
 
 
 @query(f"WITH {PAIRS}, n AS (SELECT conv_id, turn, {_NUMS.format('output')} AS r, {_NUMS.format('input')} AS h FROM pairs) SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(r, h))::DOUBLE / len(r) END AS recall FROM n")
@@ -602,7 +605,7 @@ def display_verdict(spark, sf):
     return n.select("doc", filing.display_verdict(F.col("a"), F.col("r"), F.lit(0), F.lit(0)).alias("verdict"))
 
 
-@query("SELECT doc_id, contains(lower(text), ' between ') OR contains(lower(text), ' with ') AS parties, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 40 AS terms, NOT regexp_matches(text, '[▀-▟■-◿]{2,}|\\*{3,}|_{5,}') AS unredacted FROM documents")
+@query("SELECT doc_id, contains(lower(text), ' between ') OR contains(lower(text), ' with ') AS parties, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 40 AS terms, NOT regexp_matches(text, '\\[REDACTED\\]|[▀-▟■-◿]{2,}|\\*{3,}') AS unredacted FROM documents")
 def compliance_flags(spark, sf):
     flags = filing.compliance_flags(F.lit("1.01"), F.col("text"))
     d = S.table(spark, sf, "documents").select("doc_id", F.map_from_entries(flags).alias("f"))
@@ -626,3 +629,42 @@ def assemble_disclosure(spark, sf):
 def audit_activity(spark, sf):
     w = F.window("ts", "1 hour")
     return S.table(spark, sf, "events").groupBy("event_type", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("w.start").alias("hour"), "n")
+
+
+@query("SELECT doc_id, sha256(regexp_replace('Item 1.01 Entry.' || chr(10) || text, '^\\s+|\\s+$', '', 'g')) AS section_sha256 FROM documents WHERE NOT regexp_matches(text, '(?im)^\\s*(Item\\s|SIGNATURE)')")
+def section_slice(spark, sf):
+    d = S.table(spark, sf, "documents").filter("NOT rlike(text, '(?im)^\\\\s*(Item\\\\s|SIGNATURE)')")
+    t = F.concat(F.lit("Item 1.01 Entry.\n"), "text", F.lit("\nItem 8.01 Other.\nrest"))
+    return d.select("doc_id", F.sha2(B.over(B.slice_item, T.StringType(), t, F.lit("1.01")), 256).alias("section_sha256"))
+
+
+@query()
+def stemmed_search(spark, sf):
+    return ranking.ranked_search(access.scope(S.kb(spark, sf), SCOPE), "thing er", 20)
+
+
+@query()
+def sentence_split(spark, sf):
+    d = S.table(spark, sf, "documents").select("doc_id", F.posexplode(B.over(B.sentences, T.ArrayType(T.StringType()), F.col("text"))).alias("n", "sentence"))
+    return d.select("doc_id", "n", F.length("sentence").alias("n_chars"))
+
+
+@query("""SELECT o_orderkey AS doc, 'On ' || strftime(o_orderdate, '%B %-d, %Y') || ', Acme Inc. (the “Company”) signed a Credit Agreement with ' || c_name || '. The Company pays.' || chr(10) || chr(10) ||
+  'Other than in respect of the Credit Agreement, there is no material relationship between the Company and ' || c_name || '.' || chr(10) || chr(10) ||
+  'The foregoing description of the Credit Agreement does not purport to be complete and is qualified in its entirety by reference to the full text of such Credit Agreement, a copy of which is filed as Exhibit 10.1 to this Current Report on Form 8-K and is incorporated herein by reference.' AS text
+  FROM orders JOIN customer ON o_custkey = c_custkey""")
+def closing_boilerplate(spark, sf):
+    o = S.table(spark, sf, "orders").join(S.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    t = F.concat(F.lit("On "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(", Acme Inc. (the “Borrower”) signed a Credit Agreement with "), "c_name", F.lit(". The Borrower pays."))
+
+    def finish(text: str, other: str) -> str:
+        return B.ensure_relationship(B.ensure_qualifier(B.registrant_term(text, "Acme Inc.")), f"Lender: {other}")
+
+    return o.select(F.col("o_orderkey").alias("doc"), B.over(finish, T.StringType(), t, F.col("c_name")).alias("text"))
+
+
+@query()
+def memo_export(spark, sf):
+    rows = review.merge_clauses(S.clauses(spark, sf)).groupBy("contract").agg(F.sort_array(F.collect_list(F.struct("name", "value", F.lit("").alias("quote"), F.lit(False).alias("verified")))).alias("clauses"))
+    rows = rows.withColumn("doc", F.concat(F.lit("contract "), F.col("contract").cast("string"))).withColumn("kind", F.lit("MSA")).withColumn("summary", F.lit("")).withColumn("risks", F.array(F.lit("late")))
+    return rows.select("contract", export.memo_column("doc", "kind", "summary", "clauses", "risks").alias("memo"))
