@@ -39,9 +39,9 @@ NUM, DEN = 75, 100
 BANDS, ROWS = 10, 3
 #: Least share of equal MinHash values to share a group, and to be checked for a link at once.
 KIN, NEAR = 0.4, 0.6
-GROUP, FREQUENT, MOST_FREQUENT = 256, 24, 1 << 20
-#: Leading tokens that a task gathers before it hands them on.
-BATCH = 1_000_000
+GROUP, FREQUENT, MOST_FREQUENT = 2048, 24, 1 << 20
+#: Leading tokens that a task gathers before it hands them on; pairs that it looks at in one go.
+BATCH, STEP = 500_000, 300_000
 _RANDOM = np.random.RandomState(77)
 MINS = _RANDOM.randint(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -98,17 +98,24 @@ def sign(docs: DataFrame) -> DataFrame:
                 keys += mins[:, r::ROWS] * K.STEPS[r]
             keys = K.mixed(keys + np.arange(BANDS, dtype=np.uint64))
             short = (mins >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            token, count = np.unique(flat, return_counts=True)
-            token, count = token[count > 1], count[count > 1]
+            del mins
+            flat.sort()
+            ends = np.flatnonzero(np.concatenate((flat[1:] != flat[:-1], [True]))) if len(flat) else np.zeros(0, np.int64)
+            count = np.diff(np.concatenate(([-1], ends)))
+            token, count = flat[ends[count > 1]], count[count > 1]
             blank, total = len(token), len(sets) + len(token)
-            lists = lambda rows, kind: pa.array([*rows.tolist(), *[None] * blank], pa.list_(kind))
+
+            def lists(rows, width):
+                offsets = np.minimum(np.arange(total + 1), len(sets)) * width
+                return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows.ravel()))
+
             columns = [
                 pa.array([*batch.column("doc_id").to_pylist(), *[None] * blank], pa.int64()),
                 pa.array(np.concatenate((sizes, np.full(blank, -1))), pa.int32()),
                 pa.array(np.concatenate((prints[:, 0], token.view(np.int64)))),
                 pa.array(np.concatenate((prints[:, 1], count.astype(np.int64)))),
-                lists(short, pa.int32()),
-                lists(keys.view(np.int64), pa.int64()),
+                lists(short, BANDS * ROWS),
+                lists(keys.view(np.int64), BANDS),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp1", "fp2", "mins", "bands"]) if total else None
 
@@ -169,9 +176,12 @@ def easy_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def partition(reps: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """id, n, fp1, comp, g: each representative's component so far and its group of at most about GROUP members."""
-    best = pairs.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("alike", (-F.col("b")).alias("minus"))).alias("best"))
-    family = reps.select("id", "n", "fp1").join(best, "id", "left").select("id", "n", "fp1", F.coalesce(-F.col("best.minus"), F.col("id")).alias("head"))
+    """id, n, fp1, comp, g: each representative's component so far and its group of at most about GROUP members.
+
+    A family is what chains of alike pairs hold together; it is dealt into as many groups as its size asks for.
+    """
+    heads = components(pairs).select("id", F.col("root").alias("head"))
+    family = reps.select("id", "n", "fp1").join(heads, "id", "left").select("id", "n", "fp1", F.coalesce("head", "id").alias("head"))
     many = family.groupBy("head").agg(F.count(F.lit(1)).alias("many"))
     placed = family.join(many, "head").join(roots, "id", "left")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / GROUP))
@@ -226,34 +236,35 @@ def post(docs: DataFrame, placed: DataFrame, frequent: np.ndarray, parts: int) -
 
 
 def count_part(token: np.ndarray, q: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """q, g and in how many tokens of the part the leading ones of q meet those of a member of another group g of a fitting size."""
-    order = np.argsort(token, kind="stable")
-    token, q, g, n = token[order], q[order], g[order], n[order]
-    starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    sizes = np.diff(np.concatenate((starts, [len(token)])))
-    left, right, which = [], [], []
-    for size in np.unique(sizes[sizes > 1]).tolist():
-        runs = starts[sizes == size]
-        for at in range(0, len(runs), max(1, 2_000_000 // (size * size))):
-            own = runs[at : at + max(1, 2_000_000 // (size * size))]
-            rows = own[:, None] + np.arange(size)
-            for k in range(0, size, max(1, 4_000_000 // (size * len(own)))):
-                some = rows[:, k : k + max(1, 4_000_000 // (size * len(own)))]
-                a = np.repeat(some, size, axis=1).ravel()
-                b = np.tile(rows, (1, some.shape[1])).ravel()
-                fit = (g[a] != g[b]) & (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b]))
-                a, b = a[fit], b[fit]
-                if len(a):  # a group counts once for a token, however many of its members have it
-                    triple = np.stack((token[a].astype(np.int64), q[a], g[b]), axis=1)
-                    triple = np.unique(triple, axis=0) if size > 2 else triple
-                    which.append(triple[:, 0])
-                    left.append(triple[:, 1])
-                    right.append(triple[:, 2])
-    if not left:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    pair, count = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), axis=1), axis=0, return_counts=True)
-    return pair[:, 0], pair[:, 1], count
+    """q, g and how many leading tokens of q are among those of members of another group g of a fitting size.
+
+    A group is one entry of a token's row in the matrix, however many of its members have the token.
+    """
+    order = np.lexsort((g, token))
+    token, q, g, n = token[order], q[order], g[order], n[order].astype(np.int64)
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (g[1:] != g[:-1]))) if len(token) else np.zeros(0, bool)
+    entry = np.flatnonzero(new)
+    if not len(entry):
+        return (np.zeros(0, np.int64),) * 3
+    group, low, high = g[entry], np.minimum.reduceat(n, entry), np.maximum.reduceat(n, entry)
+    first = np.searchsorted(token[entry], token, "left")
+    spans = np.searchsorted(token[entry], token, "right") - first
+    rows = np.flatnonzero(spans > 1)
+    total = np.cumsum(spans[rows])
+    met, at = [], 0
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
+        own, size = rows[at:stop], spans[rows[at:stop]]
+        a = np.repeat(own, size)
+        b = np.repeat(first[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        fit = (g[a] != group[b]) & (DEN * n[a] >= NUM * low[b]) & (DEN * high[b] >= NUM * n[a])
+        met.append(np.stack((q[a[fit]], group[b[fit]])))
+        at = stop
+    left, right = np.concatenate(met, axis=1) if met else np.zeros((2, 0), np.int64)
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    begins = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])))) if len(left) else np.zeros(0, np.int64)
+    return left[begins], right[begins], np.diff(np.concatenate((begins, [len(left)])))
 
 
 def meetings(posted: DataFrame) -> DataFrame:
@@ -280,6 +291,51 @@ def qualifying(met: DataFrame, placed: DataFrame) -> DataFrame:
     return known.filter((least <= most) & (F.col("shared") >= bound) & ~same).select("q", "g")
 
 
+def links_inside(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the components of a group's members, as few as hold the same components together.
+
+    All intersections at once: tokens that many members have by a product of 0-1 matrices, the others by their pairs.
+    """
+    m = len(sizes)
+    begins = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    many = np.diff(np.concatenate((begins, [len(tokens)])))
+    shared = np.zeros((m, m), np.float32)
+    wide = begins[many > max(16, m // 16)]
+    length = many[many > max(16, m // 16)]
+    for k in range(0, len(wide), 1024):
+        block = np.zeros((m, min(1024, len(wide) - k)), np.float32)
+        for j, (a, n) in enumerate(zip(wide[k : k + 1024], length[k : k + 1024])):
+            block[owner[a : a + n], j] = 1
+        shared += block @ block.T
+    flat = shared.ravel()
+    for n in np.unique(many[(many > 1) & (many <= max(16, m // 16))]).tolist():
+        at = begins[many == n]
+        i, j = np.triu_indices(n, 1)
+        for k in range(0, len(at), max(1, STEP // len(i))):
+            rows = owner[at[k : k + max(1, STEP // len(i)), None] + np.arange(n)]
+            pair, times = np.unique((rows[:, i] * m + rows[:, j]).ravel(), return_counts=True)
+            flat[pair] += times
+            flat[pair % m * m + pair // m] += times
+    found: set[tuple[int, int]] = set()
+    for i in range(m):
+        good = (DEN * shared[i] >= NUM * (sizes[i] + sizes - shared[i])) & (comps != comps[i])
+        found.update((min(int(comps[i]), int(c)), max(int(comps[i]), int(c))) for c in np.unique(comps[good]))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    for a, b in sorted(found):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
+
+
 def open_groups(docs: DataFrame, placed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Links a, b between a query's and a member's component, one for each pair of query and component."""
     mixed = placed.groupBy("g").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("g")
@@ -331,8 +387,7 @@ def open_groups(docs: DataFrame, placed: DataFrame, wanted: DataFrame) -> DataFr
         """Links inside a group, which are looked for once: before its first query, or at its end."""
         if table is not None or len({c for _, c, _ in members}) < 2:
             return []
-        own = index(members)
-        return [link for row in members for link in links(own, row)]
+        return links_inside(*index(members))
 
     def out(found):
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
