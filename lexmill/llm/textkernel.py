@@ -25,19 +25,23 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 STEPS = _RANDOM.randint(1, 1 << 62, 16, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, BASE_INVERSE):
         p = np.full(size, base, np.uint64)
-        p[0] = 1
+        p[:1] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
+@functools.lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(2 * SLICE)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(SLICE * 2, 1 << max(1, n - 1).bit_length())
-    a, b = _powers(size)
+    """BASE**i and BASE**-i for i < n; kept for slices of the usual size, made anew for a longer text."""
+    a, b = _kept_powers() if n <= 2 * SLICE else _powers(n)
     return a[:n], b[:n]
 
 
