@@ -7,8 +7,8 @@ at level k one step of every 2**k, chosen at random; the samples of a level are
 so that texts of different lengths are compared at the coarser of their levels. A text takes the
 lowest level that gives it at most SAMPLES samples. Likeness is the share of samples that agree.
 
-`near_duplicates` bands the samples (bit sampling), links each document to the smallest one of each of its band
-groups, verifies every link by likeness, and returns the classes.
+`near_duplicates` makes equal fingerprints one, bands the samples (bit sampling), compares all documents that share a band key
+by likeness, and returns the classes.
 
 Defined results: a null text is empty; an empty text has the fingerprint "0:" and likeness 1 to another empty one, 0 to any other;
 rows are in the order of doc_id, null last, then of text; the last row is followed by the first, a lone row
@@ -22,11 +22,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, width
+from .common import cut, documents, width
 from .components import components
 
 SAMPLES = 256
@@ -232,46 +232,179 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return in_order(docs.select("doc_id", "text")).mapInArrow(run, DIGESTS)
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, digits: int = 6) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of its class), of classes that links of likeness `least` make.
+PRINTS = "doc_id long, fingerprint string"
+
+
+def prints_of(docs: DataFrame) -> DataFrame:
+    """doc_id and fingerprint of docs (doc_id, text), in no order: nothing is shuffled."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                held.append((doc_id, text))
+                size += len(text)
+                if size > GROUP:
+                    yield emit(held)
+                    held, size = [], 0
+        if held:
+            yield emit(held)
+
+    def emit(rows):
+        own = [classes(t) for _, t in rows]
+        at, ends = walk(own, np.zeros(len(own), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([fingerprint(c, x, e) for c, x, e in zip(own, at, ends)], pa.string())], names=["doc_id", "fingerprint"])
+
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PRINTS)
+
+
+def digits_of(fp: str) -> tuple[int, np.ndarray]:
+    """The level and the digits as numbers."""
+    level, _, text = fp.partition(":")
+    found = np.frombuffer(text.encode(), np.uint8)
+    return int(level), np.where(found > 57, found - 87, found - 48).astype(np.uint8)
+
 
-    Bands of `digits` sampled digits, at a text's own level and the next, are the candidates' keys; a document is compared
-    with the smallest document of each key, never with all.
+def lifted(digits: np.ndarray, level: int, high: int) -> np.ndarray:
+    """The digits that are left at level `high`."""
+    if high == level:
+        return digits
+    keep = coarser(high, level)
+    return digits[keep[: np.searchsorted(keep, len(digits))]]
+
+
+class Bits:
+    """Digit rows as four planes of 256 bits and a mask, to compare one with many; the likeness is that of `likeness`."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        full = np.zeros((len(rows), SAMPLES), np.uint8)
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        for i, r in enumerate(rows):
+            full[i, : len(r)] = r
+        pack = lambda x: np.ascontiguousarray(np.packbits(x, axis=1)).view(np.uint64)
+        self.planes = [pack(full >> p & 1) for p in range(4)]
+        self.mask = pack(np.arange(SAMPLES)[None, :] < self.sizes[:, None])
+
+    def like(self, i, j) -> np.ndarray:
+        """Likeness of rows i and j (arrays of the same length, or i a lone row)."""
+        off = self.planes[0][i] ^ self.planes[0][j]
+        for p in self.planes[1:]:
+            off |= p[i] ^ p[j]
+        off &= self.mask[i] & self.mask[j]
+        n, most = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
+        return (n - np.bitwise_count(off).sum(axis=-1, dtype=np.int64)) / np.maximum(most, 1)
+
+
+def group_links(high: int, prints: list[str], side: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Links between the places of a band key's fingerprints that make the classes of ALL its pairs of likeness `least`.
+
+    A pair is passed over only where earlier links have put both in one class. side: where given, only pairs of different sides.
     """
-    prints = fingerprints(docs).select("doc_id", "fingerprint").filter("doc_id IS NOT NULL")
+    found = [digits_of(fp) for fp in prints]
+    level = np.array([f[0] for f in found])
+    own, up = Bits([f[1] for f in found]), Bits([lifted(d, v, high) for v, d in found])
+    label, out = np.arange(len(prints)), []
+    for i in range(len(prints) - 1):
+        left = label[i + 1 :] != label[i]
+        if side is not None:
+            left &= side[i + 1 :] != side[i]
+        j = np.flatnonzero(left) + i + 1
+        if not len(j):
+            continue
+        likes = up.like(i, j)
+        if level[i] < high:  # two of the level below are compared at their own
+            low = level[j] < high
+            likes[low] = own.like(i, j[low])
+        good = j[likes >= least]
+        if len(good):
+            joined, first = np.unique(label[good], return_index=True)
+            out += [(i, int(good[k])) for k in first]
+            label[np.isin(label, joined)] = label[i]
+    return out
+
+
+def near_links(reps: DataFrame, least: float, bands: int, digits: int, block: int) -> DataFrame:
+    """a, b: links of likeness `least` among reps (doc_id, fingerprint, all unlike) that make the same classes as all pairs that meet in a band key."""
+    picks = np.sort(np.stack([np.random.RandomState(k).choice(SAMPLES // 2, digits, replace=False) for k in range(bands)]), axis=1)
+    shifts = np.arange(digits, dtype=np.int64) * 4
 
     def band(batches):
         for batch in batches:
-            ids, keys, kept = [], [], []
+            ids, keys = [], []
             for doc_id, fp in zip(batch.column("doc_id").to_pylist(), batch.column("fingerprint").to_pylist()):
-                level, _, text = fp.partition(":")
-                mine = np.frombuffer(text.encode(), np.uint8)
-                for high in (int(level), int(level) + 1):
-                    keep = coarser(high, int(level))
-                    seen = mine[keep[: np.searchsorted(keep, len(mine))]]
-                    for k in range(bands):
-                        picks = np.random.RandomState(k).choice(SAMPLES // 2, digits, replace=False)
-                        picks = picks[picks < len(seen)]
-                        if len(picks):
-                            ids.append(doc_id)
-                            keys.append(f"{high}:{k}:{seen[np.sort(picks)].tobytes().decode()}")
-                            kept.append(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "key", "fingerprint"])
-
-    keyed = prints.mapInArrow(band, "doc_id long, key string, fingerprint string")
-    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
-    pairs = keyed.join(heads, "key").filter(F.col("doc_id") != F.col("head.doc_id")).select("doc_id", "fingerprint", "head").distinct()
+                level, mine = digits_of(fp)
+                for high in (level, level + 1):
+                    seen = lifted(mine, level, high)
+                    if not len(seen):
+                        continue
+                    there = picks < len(seen)
+                    value = (np.where(there, seen[np.minimum(picks, len(seen) - 1)], 0).astype(np.int64) << shifts).sum(axis=1)
+                    n = there.sum(axis=1)
+                    own = (((high * bands + np.arange(bands)) * (digits + 1) + n) << (4 * digits)) | value
+                    keys.append(own[n > 0])
+                    ids.append(np.full(len(keys[-1]), doc_id, np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["rep", "key"])
+
+    keyed = reps.mapInArrow(band, "rep long, key long").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    # A key of more than `block` members is cut into blocks; each two blocks meet, and each block meets itself.
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    met = keyed.join(reps.select(F.col("doc_id").alias("rep"), "fingerprint"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "fingerprint")
+    # Dealt by key and both blocks, so that a key of many members fills many tasks.
+    dealt = met.repartition(width(reps.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
 
     def verify(batches):
+        mark, held = None, []
         for batch in batches:
-            a, head = batch.column("fingerprint").to_pylist(), batch.column("head").to_pylist()
-            good = [likeness(x, h["fingerprint"]) >= least for x, h in zip(a, head)]
-            rows = [(i, h["doc_id"]) for i, h, g in zip(batch.column("doc_id").to_pylist(), head, good) if g]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+            for key, lo, hi, own, rep, fp in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "own", "rep", "fingerprint"))):
+                if (key, lo, hi) != mark:
+                    yield from emit(mark, held)
+                    mark, held = (key, lo, hi), []
+                held.append((own, rep, fp))
+        yield from emit(mark, held)
+
+    def emit(mark, held):
+        if len(held) < 2:
+            return
+        high = (mark[0] >> (4 * digits)) // ((digits + 1) * bands)
+        held = [h for h in held if int(h[2].partition(":")[0]) in (high - 1, high)]  # a doc_id of several rows brings other texts too
+        if len(held) < 2:
+            return
+        if len(held) == 2:
+            found = [(0, 1)] if (mark[1] == mark[2] or held[0][0] != held[1][0]) and likeness(held[0][2], held[1][2]) >= least else []
+        else:
+            found = group_links(high, [h[2] for h in held], None if mark[1] == mark[2] else np.array([h[0] for h in held]), least)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([held[x[k]][1] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(verify, "a long, b long")
+
+
+def near_roots(prints: DataFrame, least: float = 0.8, bands: int = 24, digits: int = 6, block: int = 4096) -> DataFrame:
+    """id and root of the documents of prints (doc_id, fingerprint) that have a link: equal fingerprints are one, others meet in bands."""
+    prints = cut(prints, "prints")
+    reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "reps")
+    copies = prints.join(reps.select("fingerprint", F.col("doc_id").alias("b")), "fingerprint").select(F.col("doc_id").alias("a"), "b").filter("a <> b")
+    return components(copies.union(near_links(reps, least, bands, digits, block)))
+
+
+def with_classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with class_id; a row without doc_id has none."""
+    return rows.join(roots, F.col("doc_id") == F.col("id"), "left").withColumn("class_id", F.coalesce("root", "doc_id")).drop("id", "root")
 
-    roots = components(pairs.mapInArrow(verify, "a long, b long"))
-    return prints.select("doc_id").join(roots, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, digits: int = 6) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of its class), of classes that links of likeness `least` make.
+
+    Bands of `digits` sampled digits, at a text's own level and the next, are the keys; of documents that share a key
+    all pairs are compared, but for those that are in one class already. Equal fingerprints always are in one class.
+    """
+    prints = prints_of(docs)
+    return with_classes(prints.select("doc_id"), near_roots(prints, least, bands, digits))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return with_classes(fingerprints(docs), near_roots(prints_of(docs)))

@@ -328,6 +328,39 @@ def test_near_duplicate_fingerprints(spark):
     assert {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(table).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_near_duplicates_compare_all_that_share_a_band(spark):
+    """One band of one digit: nearly every key has an unrelated smaller document, which must hide no pair behind it."""
+    import numpy as np
+
+    texts = [prose(300 + i, 60 + i % 7 * 40) for i in range(60)]
+    texts += texts[40:50] + [t[: len(t) - 4 * (i + 1)] + "abcd" * (i % 3) for i, t in enumerate(texts[20:40])] + ["", ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(table, bands=1, digits=1).collect()}
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(table).collect()}
+    pick, keys = int(np.random.RandomState(0).choice(fingerprints.SAMPLES // 2, 1, replace=False)[0]), {}
+    for i, fp in prints.items():
+        level, text = int(fp.partition(":")[0]), fp.partition(":")[2]
+        for high in (level, level + 1):
+            seen = [text[k] for k in fingerprints.coarser(high, level).tolist() if k < len(text)]
+            keys[i] = keys.get(i, set()) | ({(high, seen[pick])} if pick < len(seen) else set())
+    want = {i: i for i in prints}
+    for i in prints:
+        for j in range(i):
+            if want[i] != want[j] and (prints[i] == prints[j] or keys[i] & keys[j] and fingerprints.likeness(prints[i], prints[j]) >= 0.8):
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert got == want and [got[60 + i] for i in range(10)] == [want[40 + i] for i in range(10)] and got[91] == 90
+    small = fingerprints.near_roots(fingerprints.prints_of(table), bands=1, digits=1, block=5).collect()
+    assert {i: c for i, c in want.items() if c != i} == {r["id"]: r["root"] for r in small if r["id"] != r["root"]}
+    assert len({tuple(r) for r in map(tuple, small)}) == len(small)
+
+
+def test_op9_returns_classes(spark, tmp_path):
+    spark.createDataFrame([(1, prose(1, 90)), (2, prose(2, 90)), (3, prose(2, 90)), (None, prose(2, 90))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = fingerprints.op9_fingerprints(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {1: 1, 2: 2, 3: 2, None: None} and len(rows) == 4
+
+
 def test_segments_are_ruzzo_and_tompas():
     import numpy as np
 
