@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import verify_quote
+
 K_RRF = 60
 
 
@@ -86,3 +88,27 @@ def hybrid(df: DataFrame, query: str, vector: list[float], k: int = 8, leg: int
 def postings(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """lexeme, id, positions: an inverted index to be stored, partitioned or bucketed by lexeme."""
     return df.select(id_col, F.posexplode(tokens(F.col(text))).alias("pos", "lexeme")).groupBy("lexeme", id_col).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+#: Words of the runs by which quotes and documents meet.
+RUN = 5
+
+
+def find_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id: every quote of items (item_id, quote) with every document (doc_id, text) that it stands in, as `verify_quote` has it.
+
+    Any match holds the quote's longest segment, and so RUN of its whole words (all but the first and the last, which may be cut)
+    as words of the document: quotes meet documents by that run and are then verified. Quotes that are too short for a run meet all documents.
+    """
+    words = lambda x: F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
+    segments = F.transform(F.split("quote", r"(?U)\s*(?:\.{3}|…)\s*"), words)
+    longest = F.array_max(F.transform(segments, lambda s: F.struct(F.size(s).alias("n"), s.alias("words"))))
+    items = items.withColumn("longest", longest).withColumn("n", F.col("longest.n"))
+    runs = items.filter(F.col("n") >= RUN + 2).select("item_id", "quote", F.xxhash64(F.slice("longest.words", 2, RUN)).alias("run"))
+    w = F.col("words")
+    starts = F.when(F.size(w) >= RUN, F.sequence(F.lit(1), F.size(w) - RUN + 1))
+    met = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, RUN)))).alias("run"))
+    found = met.join(runs, "run").select("item_id", "quote", F.col("doc_id").alias("__doc")).distinct()
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")
+    short = docs.crossJoin(items.filter(F.col("n") < RUN + 2).select("item_id", "quote"))
+    return both.unionByName(short).filter(verify_quote(F.col("quote"), F.col("text"))).select("item_id", "doc_id")

@@ -283,8 +283,7 @@ _NORM = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 def verify_quotes(spark, sf):
     b = S.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
     d = S.table(spark, sf, "documents").select("doc_id", "text")
-    both = d.join(b, F.col("doc_id") % 50 == F.col("item_id") % 50)
-    return both.filter(X.verify_quote(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    return search.find_quotes(b, d)
 
 
 @query(f"""WITH q AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents WHERE length(text) >= 200 AND NOT contains(text, '...') AND NOT contains(text, '…')),
