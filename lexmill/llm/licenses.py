@@ -9,6 +9,11 @@ the template's bigrams at least, so that it has one of any few words that cover
 these are dropped by one search. What is left meets the templates by an equi-join on the bigram; templates are a
 fixed list, a few hundred bigrams that are broadcast.
 
+What no unit matches as a whole is searched for embedded notices: for each template paragraphs are cut at lines that match
+one of its size or larger, and of the rest every run of words that starts and ends with a bigram of the template, and stands on at most
+(2 - t) / t times as many places as it has bigrams, is compared by the same coefficient. There a run counts as no shorter than
+the template, and bigrams that aren't the template's as often as they stand. A part with such a run is one unit more.
+
 Defined results: null, empty or wordless texts match nothing; a unit of one word has no bigram and matches nothing; of templates
 with equal Dice the first by name is the document's best; repeated rows get the same results; an empty table gives no
 rows. Other columns pass through `scan`, whatever their names, but for those that it returns.
@@ -22,7 +27,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents
+from .common import ascii_lower, cut, documents
 
 #: Short notices and texts of public licences.
 TEMPLATES = {
@@ -75,8 +80,41 @@ def anchors(known: dict[str, list[str]], low: float) -> list[str]:
     return sorted(chosen)
 
 
+def embedded(docs: DataFrame, whole: DataFrame, known: DataFrame, hint: str, low: float, high: float, least: float) -> DataFrame:
+    """doc_id, license, dice: each licence that a run of words reaches in what is left of docs without the units of `whole` (doc_id, mark, b) that a template of its size or larger matches."""
+    sizes = [r["b"] for r in known.select(F.size("bigrams").alias("b")).distinct().collect()]  # as many as templates at most
+    taken = whole.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("mark", "b")).alias("taken"))
+    docs = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    # Without such units a text is the same for templates of all sizes.
+    docs = docs.select("doc_id", "text", "taken", F.explode(F.when(F.col("taken").isNull(), F.array(F.lit(0))).otherwise(F.array(*map(F.lit, sorted(sizes))))).alias("of"))
+    blank = r"\n[\x20\x09-\x0D]*\n"
+    is_taken = lambda x: F.coalesce(F.exists("taken", lambda u: (u["mark"] == F.xxhash64(x)) & (u["b"] >= F.col("of"))), F.lit(False))
+    paragraphs = F.filter(F.split("text", blank, -1), lambda p: ~is_taken(p))
+    lines = F.transform(F.split(F.array_join(paragraphs, "\n\n"), "\n", -1), lambda x: F.when(is_taken(x), F.lit("")).otherwise(x))
+    parts = docs.select("doc_id", "of", F.explode(F.split(F.array_join(lines, "\n"), blank, -1)).alias("part"))
+    parts = parts.filter(F.col("part").rlike(hint)).select("doc_id", "of", F.monotonically_increasing_id().alias("part"), normal_words(F.col("part")).alias("words"))
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = parts.select("doc_id", "of", "part", F.posexplode(F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.concat_ws(" ", a, b))).alias("pos", "bigram"))
+    index = known.select("license", F.size("bigrams").alias("b"), F.explode("bigrams").alias("bigram"))
+    met = pairs.join(F.broadcast(index), "bigram").filter("of IN (0, b)").groupBy("doc_id", "part", "license", "b").agg(F.array_sort(F.collect_list(F.struct("pos", "bigram"))).alias("hits"))
+    met = met.filter(F.size(F.array_distinct("hits.bigram")) >= F.col("b") * low)
+
+    def best_from(first: Column) -> Column:
+        """The best Dice coefficient of the runs that start with a hit."""
+        near = F.filter("hits", lambda h: (h["pos"] >= first["pos"]) & (h["pos"] - first["pos"] + 1 <= F.col("b") * high))
+
+        def run(last: Column, k: Column) -> Column:
+            shared = F.size(F.array_distinct(F.transform(F.slice(near, F.lit(1), k + 1), lambda h: h["bigram"])))
+            a = F.greatest(last["pos"] - first["pos"] - k + shared, F.col("b"))
+            return 2.0 * shared / (a + F.col("b"))
+
+        return F.when(F.size(near) >= F.col("b") * low, F.array_max(F.transform(near, run))).otherwise(0.0)
+
+    return met.select("doc_id", "license", F.array_max(F.transform("hits", best_from)).alias("dice")).filter(F.col("dice") >= least)
+
+
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """doc_id, __row, license, dice: each licence that some unit of the row reaches, with the unit's Dice coefficient."""
+    """doc_id, __row, license, dice: each licence that some unit of the row or a run of words inside one reaches, with its Dice coefficient."""
     spark = docs.sparkSession
     known = template_rows(spark, templates or TEMPLATES)
     listed = {r["license"]: r["bigrams"] for r in known.collect()}  # as many as the list of templates
@@ -90,20 +128,23 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     units = docs.filter(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.concat(lines, paragraphs))).alias("unit"))
     # Before any word is made out: a template of b bigrams has a counterpart of b * low + 1 words at least.
     shortest = int(min(sizes) * low) + 1
-    units = units.filter((F.length("unit") >= 2 * shortest - 1) & F.col("unit").rlike(hint)).select("doc_id", normal_words(F.col("unit")).alias("words"))
+    units = units.filter((F.length("unit") >= 2 * shortest - 1) & F.col("unit").rlike(hint)).select("doc_id", F.xxhash64("unit").alias("mark"), normal_words(F.col("unit")).alias("words"))
     in_words = F.lit(False)
     for b in sorted(set(sizes)):  # a words make a - 1 bigrams at most; repeats make it fewer
         in_words = in_words | (F.size("words") - 1 >= b * low)
-    units = units.filter(in_words).select("doc_id", bigrams(F.col("words")).alias("own"))
+    units = units.filter(in_words).select("doc_id", "mark", bigrams(F.col("words")).alias("own"))
     in_range = F.lit(False)
     for b in sorted(set(sizes)):
         in_range = in_range | F.size("own").between(b * low, b * high)
     units = units.filter(in_range).withColumn("unit", F.monotonically_increasing_id()).withColumn("a", F.size("own"))
-    pairs = units.select("doc_id", "unit", "a", F.explode("own").alias("bigram"))
+    pairs = units.select("doc_id", "unit", "mark", "a", F.explode("own").alias("bigram"))
     index = known.select("license", F.size("bigrams").alias("b"), F.explode("bigrams").alias("bigram"))
     met = pairs.join(F.broadcast(index), "bigram").filter(F.col("a").between(F.col("b") * low, F.col("b") * high))
-    shared = met.groupBy("doc_id", "unit", "license", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    shared = met.groupBy("doc_id", "unit", "mark", "license", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
     scored = shared.withColumn("dice", 2.0 * F.col("shared") / (F.col("a") + F.col("b"))).filter(F.col("dice") >= least)
+    whole = cut(scored.select("doc_id", "mark", "b", "license", "dice"), "licenses")
+    inside = embedded(docs, whole, known, hint, low, high, least)
+    scored = whole.drop("mark", "b").unionByName(inside)
     return scored.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
 
 

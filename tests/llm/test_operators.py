@@ -289,6 +289,24 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == len(rows()) and licenses.scan(none).count() == 0
 
 
+def test_embedded_licenses(spark):
+    header = licenses.TEMPLATES["Apache-2.0-header"].split(" ")
+    wrapped = "\n".join(" * " + " ".join(header[i : i + 9]) for i in range(0, len(header), 9))
+    texts = [
+        "This project is released under the MIT License.",
+        "Copyright 2020 Acme Corp. Licensed under the Apache License, Version 2.0.",
+        f"/* {prose(5, 40)}\n{wrapped}\n * {prose(6, 150)} */",
+        f"{prose(7, 400)} this work is licensed under the GNU General Public License,\nversion 3 {prose(8, 400)}",
+        f"{prose(9, 20)}\nReleased under the MIT License.\n{prose(10, 20)}",
+        "Released from the license under which the MIT people work.",
+        "Released under the MIT License.\n\nAll of it, too, is released under the MIT License today.",
+    ]
+    got = {r["doc_id"]: (r["licenses"], round(r["dice"], 6), r["n_units"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == ("MIT-notice", 1.0, 1) and got[1] == ("Apache-2.0", 1.0, 1)
+    assert got[2][0] == "Apache-2.0,Apache-2.0-header" and got[2][1] == 1.0
+    assert got[3] == ("GPL-3.0", 1.0, 1) and got[4] == ("MIT-notice", 1.0, 1) and got[5] == ("", 0.0, 0) and got[6] == ("MIT-notice", 1.0, 2)
+
+
 def brute_walk(text):
     table, step, out = fingerprints.dwell(), 0, []
     for c in fingerprints.classes(text).tolist():
