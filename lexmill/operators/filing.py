@@ -127,12 +127,15 @@ def gaps(text: Column, placeholder: str) -> Column:
     """Array of (n, before, after): what stands around each placeholder, 70 characters before and 40 after."""
     parts = F.split(text, "\\Q" + placeholder + "\\E", -1)
     n = F.size(parts) - 1
+    # So many neighbouring pieces have 70 and 40 characters by the placeholders between them alone.
+    back, on = (k // len(placeholder) + 2 for k in (70, 40))
+    start = lambda i: F.greatest(i + 2 - back, F.lit(1))
     return F.transform(
         F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: i < n),
         lambda i: F.struct(
             i.alias("n"),
-            F.right(F.array_join(F.slice(parts, 1, i + 1), placeholder), F.lit(70)).alias("before"),
-            F.left(F.array_join(F.slice(parts, i + 2, n), placeholder), F.lit(40)).alias("after"),
+            F.right(F.array_join(F.slice(parts, start(i), i + 2 - start(i)), placeholder), F.lit(70)).alias("before"),
+            F.left(F.array_join(F.slice(parts, i + 2, F.lit(on)), placeholder), F.lit(40)).alias("after"),
         ),
     )
 

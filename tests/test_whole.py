@@ -1,8 +1,9 @@
 """Queries do the whole job: no row filter, no cut of texts or lists."""
 
 import duckdb
+from pyspark.sql import functions as F
 
-from lexmill.operators import search
+from lexmill.operators import filing, search
 from lexmill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +23,24 @@ def test_find_quotes(spark):
     docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(quotes, "item_id long, quote string")
     found = sorted(map(tuple, search.find_quotes(items, docs).collect()))
     assert found == [(1, 1), (2, 1), (2, 2), (2, 3), (3, 1), (3, 3), (4, 2)]
+
+
+def test_gap_list_takes_long_texts(spark):
+    con, want = duckdb.connect(), []
+    for d, t in con.execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall():
+        parts, at = (t or "").split(" the "), 0
+        for n, part in enumerate(parts[:-1]):
+            at += len(part)
+            want.append((d, n, t[max(at - 70, 0) : at], t[at + 5 : at + 45]))
+            at += 5
+    assert sorted(tuple(r) for r in catalog.QUERIES["gap_list"](spark, SF).collect()) == sorted(want)
+
+
+def test_gaps_close_together(spark):
+    text = "a" + " the " * 40 + "b the  the c"
+    rows = spark.createDataFrame([(text,)], "t string").select(F.inline(filing.gaps(F.col("t"), " the "))).collect()
+    at, want = text.find(" the "), []
+    while at >= 0:
+        want.append((len(want), text[max(at - 70, 0) : at], text[at + 5 : at + 45]))
+        at = text.find(" the ", at + 5)
+    assert [tuple(r) for r in rows] == want
