@@ -225,7 +225,7 @@ def citations(spark, sf):
 
 @query("WITH t AS (SELECT conv_id, turn, left(text, 30) AS s FROM conversations) SELECT conv_id, min(turn) AS first_turn, string_agg(s, chr(10) ORDER BY turn) AS joined FROM t GROUP BY conv_id")
 def precedent_groups(spark, sf):
-    c = S.table(spark, sf, "conversations").select("conv_id", "turn", F.left("text", F.lit(30)).alias("s"))
+    c = S.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("s"))
     rows = c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("rows"))
     return rows.select("conv_id", "first_turn", F.array_join("rows.s", "\n").alias("joined"))
 

@@ -44,3 +44,9 @@ def test_gaps_close_together(spark):
         want.append((len(want), text[max(at - 70, 0) : at], text[at + 5 : at + 45]))
         at = text.find(" the ", at + 5)
     assert [tuple(r) for r in rows] == want
+
+
+def test_precedent_groups_join_whole_texts(spark):
+    sql = f"SELECT conv_id, min(turn), string_agg(text, chr(10) ORDER BY turn) FROM '{SF}/conversations.parquet' GROUP BY conv_id"
+    want = sorted(duckdb.connect().execute(sql).fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["precedent_groups"](spark, SF).select("conv_id", "first_turn", "joined").collect())) == want
