@@ -385,7 +385,7 @@ def currency_facts(spark, sf):
 
 @query("SELECT l_orderkey AS doc, l_linenumber AS line, round(l_discount, 4) AS share FROM lineitem WHERE l_linenumber = 1")
 def percent_facts(spark, sf):
-    line = S.table(spark, sf, "lineitem").filter("l_linenumber = 1")
+    line = S.table(spark, sf, "lineitem")
     t = line.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.concat(F.lit("a discount of "), F.round(F.col("l_discount") * 100, 0).cast("int").cast("string"), F.lit(" percent applies")).alias("t"))
     return extract(t, "t", ["doc", "line"]).filter("kind = 'percent'").select("doc", "line", F.round(F.col("num").cast("double"), 4).alias("share"))
 
@@ -578,7 +578,7 @@ def exhibit_numbers(spark, sf):
 SELECT filing, CASE n WHEN 1 THEN 'The foregoing description of the Note1 does not purport to be complete and is qualified in its entirety by reference to the full text of such Note1, a copy of which is filed as Exhibit 10.1 to this Current Report on Form 8-K and is incorporated herein by reference.'
  ELSE 'The foregoing descriptions of the ' || CASE n WHEN 2 THEN 'Note1 and Note2' ELSE 'Note1, Note2, and Note3' END || ' do not purport to be complete and are qualified in their entirety by reference to the full text of such documents, copies of which are filed as Exhibits ' || CASE n WHEN 2 THEN '10.1 and 10.2' ELSE '10.1, 10.2, and 10.3' END || ' to this Current Report on Form 8-K and are incorporated herein by reference.' END AS sentence FROM n""")
 def combined_qualifier(spark, sf):
-    n = S.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("filing")).agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("n"))
+    n = S.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("filing")).agg(F.count(F.lit(1)).alias("n"))
     made = lambda prefix: F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: F.concat(F.lit(prefix), i.cast("string")))
     return n.select("filing", filing.combined_qualifier(made("Note"), made("10.")).alias("sentence"))
 

@@ -50,3 +50,18 @@ def test_precedent_groups_join_whole_texts(spark):
     sql = f"SELECT conv_id, min(turn), string_agg(text, chr(10) ORDER BY turn) FROM '{SF}/conversations.parquet' GROUP BY conv_id"
     want = sorted(duckdb.connect().execute(sql).fetchall())
     assert sorted(map(tuple, catalog.QUERIES["precedent_groups"](spark, SF).select("conv_id", "first_turn", "joined").collect())) == want
+
+
+def test_percent_facts_take_all_lines(spark):
+    want = duckdb.connect().execute(f"SELECT l_orderkey, l_linenumber, round(l_discount, 4) FROM '{SF}/lineitem.parquet'").fetchall()
+    got = [(r["doc"], r["line"], r["share"]) for r in catalog.QUERIES["percent_facts"](spark, SF).collect()]
+    assert sorted(got) == sorted((d, n, float(s)) for d, n, s in want)
+
+
+def test_combined_qualifier_lists_all_exhibits(spark):
+    want = dict(duckdb.connect().execute(f"SELECT l_orderkey, count(*) FROM '{SF}/lineitem.parquet' GROUP BY 1").fetchall())
+    got = {r["filing"]: r["sentence"] for r in catalog.QUERIES["combined_qualifier"](spark, SF).collect()}
+    assert got.keys() == want.keys() and max(want.values()) > 3
+    for k, n in want.items():
+        last = f"{'and ' * (n > 1)}10.{n} to this" if n != 1 else "Exhibit 10.1 to this"
+        assert got[k].count("10.") == n and last in got[k]
