@@ -291,7 +291,7 @@ s AS (SELECT doc_id, t, {_NORM.format("substr(t, 11, 30)")} AS a, {_NORM.format(
 SELECT doc_id, a <> '' AND b <> '' AND strpos(t, a) > 0 AND strpos(substr(t, strpos(t, a) + length(a)), b) > 0 AS forward,
   strpos(t, b) > 0 AND strpos(substr(t, strpos(t, b) + length(b)), a) > 0 AS backward FROM s""")
 def quote_ellipsis(spark, sf):
-    q = S.table(spark, sf, "documents").filter("length(text) >= 200 AND NOT contains(text, '...') AND NOT contains(text, '…')").select("doc_id", X.squeeze(F.col("text")).alias("t"))
+    q = S.table(spark, sf, "documents").select("doc_id", X.squeeze(F.col("text")).alias("t"))
     a, b = F.substring("t", 11, 30), F.substring("t", 101, 30)
     return q.select("doc_id", X.verify_quote(F.concat(a, F.lit(" ... "), b), F.col("t")).alias("forward"), X.verify_quote(F.concat(b, F.lit(" … "), a), F.col("t")).alias("backward"))
 
@@ -632,7 +632,7 @@ def audit_activity(spark, sf):
 
 @query("SELECT doc_id, sha256(regexp_replace('Item 1.01 Entry.' || chr(10) || text, '^\\s+|\\s+$', '', 'g')) AS section_sha256 FROM documents WHERE NOT regexp_matches(text, '(?im)^\\s*(Item\\s|SIGNATURE)')")
 def section_slice(spark, sf):
-    d = S.table(spark, sf, "documents").filter("NOT rlike(text, '(?im)^\\\\s*(Item\\\\s|SIGNATURE)')")
+    d = S.table(spark, sf, "documents")
     t = F.concat(F.lit("Item 1.01 Entry.\n"), "text", F.lit("\nItem 8.01 Other.\nrest"))
     return d.select("doc_id", F.sha2(B.over(B.slice_item, T.StringType(), t, F.lit("1.01")), 256).alias("section_sha256"))
 

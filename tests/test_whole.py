@@ -1,5 +1,8 @@
 """Queries do the whole job: no row filter, no cut of texts or lists."""
 
+import hashlib
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -65,3 +68,24 @@ def test_combined_qualifier_lists_all_exhibits(spark):
     for k, n in want.items():
         last = f"{'and ' * (n > 1)}10.{n} to this" if n != 1 else "Exhibit 10.1 to this"
         assert got[k].count("10.") == n and last in got[k]
+
+
+def test_quote_ellipsis_and_section_slice_take_all_documents(spark, tmp_path):
+    texts = ["short", "abcdefghij" + "k … l" * 60, "One two... three " * 20, "Intro\nSIGNATURE\nrest", "Intro\nItem 9.01 Exhibits\nrest", "plain words here " * 20]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def holds(quote, text):
+        at, parts = 0, [x for x in (" ".join(p.split()) for p in re.split(r"\.{3}|…", quote)) if x]
+        for part in parts:
+            at = text.find(part, at)
+            if at < 0:
+                return " ".join(quote.split()) in text
+            at += len(part)
+        return bool(parts) or " ".join(quote.split()) in text
+
+    flat = [" ".join(t.split()) for t in texts]
+    want = {i: (holds(f"{t[10:40]} ... {t[100:130]}", t), holds(f"{t[100:130]} … {t[10:40]}", t)) for i, t in enumerate(flat)}
+    assert {r["doc_id"]: (r["forward"], r["backward"]) for r in catalog.QUERIES["quote_ellipsis"](spark, str(tmp_path)).collect()} == want
+    cut = ["Item 1.01 Entry.\n" + t.split("\nSIG")[0].split("\nItem 9")[0].strip() for t in texts]
+    got = {r["doc_id"]: r["section_sha256"] for r in catalog.QUERIES["section_slice"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(cut)}
