@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import by_place, documents
 
 #: Matches of at most KEEP bytes are merged side by side, ROWS at a time. Texts are taken in groups of about GROUP characters;
 #: the table of matches is emptied when it would grow over TABLE.
@@ -227,7 +227,8 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, pattern: str, what: str = "digests") -> DataFrame:
     """docs without text, with n_tokens and either ids (what="ids": array of int, and decoded text) or digests of both."""
-    rest = [f for f in docs.schema.fields if f.name not in ("text", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")]
+    plain, names, back = by_place(docs, ("text",), ("text", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"))
+    rest = [plain.schema[n] for n in names if n != "text"]
     kinds = {"ids": [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())], "digests": [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]}[what]
     out = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), *(T.StructField(n, t) for n, t in kinds)])
 
@@ -248,7 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str, what: str = "digests") -> D
             columns = [batch.column(f.name) for f in rest] + [pa.array(counts, pa.int64()), pa.array(first, types[0]), pa.array(second, types[1])]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
 
-    return docs.select(*(f.name for f in rest), "text").mapInArrow(run, out)
+    return back(plain.select(*(f.name for f in rest), "text").mapInArrow(run, out))
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -7,12 +7,15 @@ at level k one step of every 2**k, chosen at random; the samples of a level are
 so that texts of different lengths are compared at the coarser of their levels. A text takes the
 lowest level that gives it at most SAMPLES samples. Likeness is the share of samples that agree.
 
-`near_duplicates` makes equal fingerprints one, bands the samples (bit sampling), compares all documents that share a band key
-by likeness, and returns the classes.
-
-Defined results: a null text is empty; an empty text has the fingerprint "0:" and likeness 1 to another empty one, 0 to any other;
-rows are in the order of doc_id, null last, then of text; the last row is followed by the first, a lone row
-by itself; repeated rows get equal fingerprints; an empty table gives no rows.
+`near_duplicates` makes equal fingerprints one and bands the samples (bit sampling): documents of one band key are compared by
+likeness, first with the smallest of the key, then, where a key still has members of different classes, all of these with each other. A pair
+is passed over only if earlier links have put both in one class, or if it meets in no band. A band has DIGITS samples: unlike texts
+agree in one of about ten, so that a key brings about n / 10**DIGITS unlike documents to each; for very large tables take more.
+
+Defined results: a null text is empty; an empty text has the fingerprint "0:" and likeness 1 to another empty one, with which it is in one
+class, 0 to any other; rows are in the order of doc_id, null last, then of a hash of the text; the last row is followed by the first, a
+lone row by itself; repeated rows get equal fingerprints; texts are walked whole, however long; an empty table gives no rows; rows
+without doc_id have no class. Only doc_id and text are looked at, and no other column of the input is returned.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, width
+from .common import cut, documents, join_unique, width
 from .components import components
 
 SAMPLES = 256
@@ -34,6 +38,8 @@ SAMPLES = 256
 PERIOD = 4096
 #: Texts are walked side by side, about GROUP characters at a time; fewer than FEW that are left are walked one by one.
 GROUP, FEW = 4_000_000, 24
+#: Least likeness of near duplicates, bands, samples of a band, members that are compared with each other in one task.
+LEAST, BANDS, DIGITS, BLOCK = 0.6, 32, 7, 4096
 LAST = 2**63 - 1
 
 
@@ -166,13 +172,13 @@ def follow(rows: list[tuple]) -> list[tuple]:
 DIGESTS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]
 )
-DEALT = "bucket int, follower boolean, at long, doc_id long, text string"
+DEALT = "bucket int, follower boolean, at long, mark long, doc_id long, packed binary"
 
 
 def in_order(docs: DataFrame) -> DataFrame:
     """docs by ranges of doc_id, one a partition, each range with the first row of the next one as follower.
 
-    Bounds are quantiles of doc_id; they, and the first doc_id of each range, are as many as partitions.
+    Bounds are quantiles of doc_id; they, and the first doc_id of each range, are as many as partitions. Texts travel compressed.
     """
     n = width(docs.sparkSession)
     ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("at"))
@@ -198,24 +204,28 @@ def in_order(docs: DataFrame) -> DataFrame:
             to = np.concatenate((found, np.array([before[int(x)] for x in at[again]], found.dtype)))
             more = np.arange(len(rows)) >= len(at)
             picked = batch.take(pa.array(rows)) if len(again) else batch
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(more), *(picked.column(c) for c in ("at", "doc_id", "text"))], names=["bucket", "follower", "at", "doc_id", "text"])
+            pack = zstandard.ZstdCompressor(level=1).compress
+            packed = pa.array([pack(t.encode()) for t in picked.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(more), *(picked.column(c) for c in ("at", "mark", "doc_id")), packed], names=["bucket", "follower", "at", "mark", "doc_id", "packed"])
 
-    dealt = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("at"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, DEALT)
-    return dealt.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "follower", "at", "text")
+    text = F.coalesce("text", F.lit(""))
+    dealt = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("at"), F.xxhash64(text).alias("mark"), "doc_id", text.alias("text")).mapInArrow(deal, DEALT)
+    return dealt.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "follower", "at", "mark")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """DIGESTS of docs (doc_id, text)."""
 
     def run(batches):
-        held, size, done, bucket = [], 0, False, None
+        held, size, done, bucket, unpack = [], 0, False, None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("bucket", "follower", "doc_id", "text"))
-            for b, follower, doc_id, text in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "follower", "doc_id", "packed"))
+            for b, follower, doc_id, packed in zip(*columns):
                 if b != bucket:
                     held, size, done, bucket = [], 0, False, b
                 if done:
                     continue
+                text = unpack(packed).decode()
                 held.append((doc_id, text))
                 size += len(text)
                 done = follower
@@ -295,15 +305,16 @@ class Bits:
         return (n - np.bitwise_count(off).sum(axis=-1, dtype=np.int64)) / np.maximum(most, 1)
 
 
-def group_links(high: int, prints: list[str], side: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+def group_links(high: int, prints: list[str], label: np.ndarray, side: np.ndarray | None, least: float) -> list[tuple[int, int]]:
     """Links between the places of a band key's fingerprints that make the classes of ALL its pairs of likeness `least`.
 
-    A pair is passed over only where earlier links have put both in one class. side: where given, only pairs of different sides.
+    A pair is passed over only where `label`, the classes so far, or links found here have put both in one class. side: where given, only
+    pairs of different sides.
     """
     found = [digits_of(fp) for fp in prints]
     level = np.array([f[0] for f in found])
     own, up = Bits([f[1] for f in found]), Bits([lifted(d, v, high) for v, d in found])
-    label, out = np.arange(len(prints)), []
+    label, out = label.copy(), []
     for i in range(len(prints) - 1):
         left = label[i + 1 :] != label[i]
         if side is not None:
@@ -323,10 +334,14 @@ def group_links(high: int, prints: list[str], side: np.ndarray | None, least: fl
     return out
 
 
-def near_links(reps: DataFrame, least: float, bands: int, digits: int, block: int) -> DataFrame:
-    """a, b: links of likeness `least` among reps (doc_id, fingerprint, all unlike) that make the same classes as all pairs that meet in a band key."""
+def band_rows(reps: DataFrame, least: float, bands: int, digits: int) -> DataFrame:
+    """key, rep and head, the smallest of the key, of all band keys that several of reps (doc_id, fingerprint, all unlike) have.
+
+    A text has keys at its own level; at the next one only if it can be like a text of that level, which is longer: if it has
+    `least` of the most samples. Keys travel as packed numbers, by parts of the key space.
+    """
     picks = np.sort(np.stack([np.random.RandomState(k).choice(SAMPLES // 2, digits, replace=False) for k in range(bands)]), axis=1)
-    shifts = np.arange(digits, dtype=np.int64) * 4
+    shifts, parts = np.arange(digits, dtype=np.int64) * 4, width(reps.sparkSession)
 
     def band(batches):
         for batch in batches:
@@ -335,7 +350,7 @@ def near_links(reps: DataFrame, least: float, bands: int, digits: int, block: in
                 level, mine = digits_of(fp)
                 for high in (level, level + 1):
                     seen = lifted(mine, level, high)
-                    if not len(seen):
+                    if not len(seen) or (high > level and len(seen) < least * (SAMPLES // 2 - 1)):
                         continue
                     there = picks < len(seen)
                     value = (np.where(there, seen[np.minimum(picks, len(seen) - 1)], 0).astype(np.int64) << shifts).sum(axis=1)
@@ -343,51 +358,104 @@ def near_links(reps: DataFrame, least: float, bands: int, digits: int, block: in
                     own = (((high * bands + np.arange(bands)) * (digits + 1) + n) << (4 * digits)) | value
                     keys.append(own[n > 0])
                     ids.append(np.full(len(keys[-1]), doc_id, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["rep", "key"])
+            if not ids:
+                continue
+            key, rep = np.concatenate(keys), np.concatenate(ids)
+            mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            columns = [[x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in some] for x in (key, rep)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "key", "rep"])
+
+    def several(table: pa.Table) -> pa.Table:
+        key, rep = (np.concatenate([np.frombuffer(v.as_py(), np.int64) for v in table.column(c)]) for c in ("key", "rep"))
+        order = np.lexsort((rep, key))
+        key, rep = key[order], rep[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        begins = np.flatnonzero(new)
+        sizes = np.diff(np.append(begins, len(key)))
+        head, keep = np.repeat(rep[begins], sizes), np.repeat(sizes > 1, sizes)
+        return pa.table([pa.array(x[keep]) for x in (key, rep, head)], names=["key", "rep", "head"])
+
+    return reps.mapInArrow(band, "part int, key binary, rep binary").groupBy("part").applyInArrow(several, "key long, rep long, head long")
+
+
+def head_links(keyed: DataFrame, reps: DataFrame, least: float, block: int) -> DataFrame:
+    """a, b: members of a key and its smallest one, where these are alike. A head of many members is compared in several tasks."""
+    pairs = cut(keyed.select("rep", "head").filter("rep <> head").distinct(), "head_pairs")
+    sizes = cut(pairs.groupBy("head").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / block).cast("int")), "head_sizes")
+    dealt = join_unique(pairs, sizes, ["head"], "n", pairs.count(), F.col("rep"))
+    members = dealt.select("head", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), "rep")
+    heads = sizes.select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("head").alias("rep"))
+    rows = heads.union(members).join(reps.select(F.col("doc_id").alias("rep"), "fingerprint"), "rep")
+    rows = rows.repartition(width(reps.sparkSession), "head", "chunk").sortWithinPartitions("head", "chunk", "role")
 
-    keyed = reps.mapInArrow(band, "rep long, key long").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    def run(batches):
+        mark, first = None, None
+        for batch in batches:
+            out = []
+            for head, chunk, role, rep, fp in zip(*(batch.column(c).to_pylist() for c in ("head", "chunk", "role", "rep", "fingerprint"))):
+                if (head, chunk) != mark:
+                    mark, first = (head, chunk), []
+                if role == 0:  # a doc_id of several rows has several fingerprints
+                    first.append(fp)
+                elif any(likeness(fp, x) >= least for x in first):
+                    out.append((rep, head))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select("head", "chunk", "role", "rep", "fingerprint").mapInArrow(run, "a long, b long")
+
+
+def rest_links(keyed: DataFrame, reps: DataFrame, roots: DataFrame, least: float, digits: int, bands: int, block: int) -> DataFrame:
+    """a, b: links that make the same classes as all pairs that share a key, beside those that `roots` (id, root) have."""
+    own = keyed.select("key", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    own = cut(own, "band_classes")
+    mixed = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    mixed = cut(mixed.select("key", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "mixed_keys")
+    met = join_unique(own, mixed, ["key"], "n", own.count(), F.col("rep")).filter("blocks IS NOT NULL")
     # A key of more than `block` members is cut into blocks; each two blocks meet, and each block meets itself.
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    met = keyed.join(reps.select(F.col("doc_id").alias("rep"), "fingerprint"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = met.join(reps.select(F.col("doc_id").alias("rep"), "fingerprint"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "fingerprint")
+    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "root", "fingerprint")
     # Dealt by key and both blocks, so that a key of many members fills many tasks.
     dealt = met.repartition(width(reps.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
 
     def verify(batches):
         mark, held = None, []
         for batch in batches:
-            for key, lo, hi, own, rep, fp in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "own", "rep", "fingerprint"))):
+            for key, lo, hi, own, rep, root, fp in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "own", "rep", "root", "fingerprint"))):
                 if (key, lo, hi) != mark:
                     yield from emit(mark, held)
                     mark, held = (key, lo, hi), []
-                held.append((own, rep, fp))
+                held.append((own, rep, root, fp))
         yield from emit(mark, held)
 
     def emit(mark, held):
         if len(held) < 2:
             return
         high = (mark[0] >> (4 * digits)) // ((digits + 1) * bands)
-        held = [h for h in held if int(h[2].partition(":")[0]) in (high - 1, high)]  # a doc_id of several rows brings other texts too
-        if len(held) < 2:
+        held = [h for h in held if int(h[3].partition(":")[0]) in (high - 1, high)]  # a doc_id of several rows brings other texts too
+        if len(held) < 2 or len({h[2] for h in held}) < 2:
             return
-        if len(held) == 2:
-            found = [(0, 1)] if (mark[1] == mark[2] or held[0][0] != held[1][0]) and likeness(held[0][2], held[1][2]) >= least else []
-        else:
-            found = group_links(high, [h[2] for h in held], None if mark[1] == mark[2] else np.array([h[0] for h in held]), least)
+        side = None if mark[1] == mark[2] else np.array([h[0] for h in held])
+        found = group_links(high, [h[3] for h in held], np.unique([h[2] for h in held], return_inverse=True)[1], side, least)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([held[x[k]][1] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.select("key", "lo", "hi", "own", "rep", "root", "fingerprint").mapInArrow(verify, "a long, b long")
 
 
-def near_roots(prints: DataFrame, least: float = 0.8, bands: int = 24, digits: int = 6, block: int = 4096) -> DataFrame:
+def near_roots(prints: DataFrame, least: float = LEAST, bands: int = BANDS, digits: int = DIGITS, block: int = BLOCK) -> DataFrame:
     """id and root of the documents of prints (doc_id, fingerprint) that have a link: equal fingerprints are one, others meet in bands."""
-    prints = cut(prints, "prints")
-    reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "reps")
-    copies = prints.join(reps.select("fingerprint", F.col("doc_id").alias("b")), "fingerprint").select(F.col("doc_id").alias("a"), "b").filter("a <> b")
-    return components(copies.union(near_links(reps, least, bands, digits, block)))
+    prints = cut(prints, "prints", codec="zstd")
+    reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "reps", codec="zstd")
+    copies = cut(prints.join(reps.select("fingerprint", F.col("doc_id").alias("b")), "fingerprint").select(F.col("doc_id").alias("a"), "b").filter("a <> b"), "copies")
+    keyed = cut(band_rows(reps, least, bands, digits), "band_rows")
+    easy = cut(head_links(keyed, reps, least, block), "head_links")
+    more = rest_links(keyed, reps, components(easy), least, digits, bands, block)
+    return components(copies.union(easy).union(more))
 
 
 def with_classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -395,14 +463,14 @@ def with_classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, F.col("doc_id") == F.col("id"), "left").withColumn("class_id", F.coalesce("root", "doc_id")).drop("id", "root")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, digits: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, digits: int = DIGITS, block: int = BLOCK) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class), of classes that links of likeness `least` make.
 
-    Bands of `digits` sampled digits, at a text's own level and the next, are the keys; of documents that share a key
+    Bands of `digits` sampled digits, at a text's own level and, where that can matter, the next, are the keys; of documents that share a key
     all pairs are compared, but for those that are in one class already. Equal fingerprints always are in one class.
     """
     prints = prints_of(docs)
-    return with_classes(prints.select("doc_id"), near_roots(prints, least, bands, digits))
+    return with_classes(prints.select("doc_id"), near_roots(prints, least, bands, digits, block))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

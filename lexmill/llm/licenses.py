@@ -14,7 +14,7 @@ one of its size or larger, and of the rest every run of words that starts and en
 (2 - t) / t times as many places as it has bigrams, is compared by the same coefficient. There a run counts as no shorter than
 the template, and bigrams that aren't the template's as often as they stand. A part with such a run is one unit more.
 
-Defined results: null, empty or wordless texts match nothing; a unit of one word has no bigram and matches nothing; of templates
+Defined results: rows that share a doc_id, or have none, are one document; null, empty or wordless texts match nothing; a unit of one word has no bigram and matches nothing; of templates
 with equal Dice the first by name is the document's best; repeated rows get the same results; an empty table gives no
 rows. Other columns pass through `scan`, whatever their names, but for those that it returns.
 """
@@ -27,7 +27,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, documents
+from .common import ascii_lower, by_place, cut, documents
 
 #: Short notices and texts of public licences.
 TEMPLATES = {
@@ -150,16 +150,17 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
 
 def scan(docs: DataFrame, **how) -> DataFrame:
     """docs without text, with license (the best, null if none), dice (0 if none), n_units that match and licenses (all, sorted, joined by commas)."""
-    found = matches(docs.select("doc_id", "text"), **how)
+    plain, rest, back = by_place(docs, ("doc_id", "text"), ("text", "license", "dice", "n_units", "licenses"))
+    rest = [c for c in rest if c != "text"]
+    found = matches(plain.select("doc_id", "text"), **how)
     per_doc = found.groupBy(F.col("doc_id").alias("__id")).agg(
         F.min(F.struct((-F.col("dice")).alias("d"), "license"))["license"].alias("license"),
         F.max("dice").alias("dice"),
         F.sum("n_units").alias("n_units"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
     )
-    rest = [c for c in docs.columns if c not in ("text", "license", "dice", "n_units", "licenses")]
-    joined = docs.select(*rest).join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.select(*rest, "license", F.coalesce("dice", F.lit(0.0)).alias("dice"), F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce("licenses", F.lit("")).alias("licenses"))
+    joined = plain.select(*rest).join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return back(joined.select(*rest, "license", F.coalesce("dice", F.lit(0.0)).alias("dice"), F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce("licenses", F.lit("")).alias("licenses")))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,14 @@ level has `fanout` runs they are merged into one of the next level, so that a ke
 times and a batch never meets more than fanout * levels runs. Runs are bucketed tables of the warehouse: the
 anti-join shuffles the new batch alone and merges it with runs that are already dealt out and sorted.
 
+What a document loses is kept by row content, so that rows with one doc_id, or none, make no common list. A line that very many
+documents have is one of a few keys that are broadcast; its lines aren't brought together.
+
 Defined results: a null or empty text is one empty line; keys shorter than `min_chars` code points are never
 dropped; rows that share a doc_id count as one document; rows with a null doc_id count as one document that comes
-last; a key repeated inside the document that owns it keeps all its lines there. Columns of the input pass through,
-whatever their names, but for the ones that the operator returns.
+last, and so does the doc_id 2**63 - 1, with them; a key repeated inside the document that owns it keeps all its lines there; texts are
+split whole, however long; an empty table gives no rows. Columns of the input pass through, whatever their names, but for the
+ones that the operator returns.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, ascii_lower, cut, documents, text_or_empty, width
+from .common import BLANKS, ascii_lower, by_place, cut, documents, join_unique, text_or_empty, width
 
 KEY = ["k1", "k2"]
 #: The largest doc_id: rows with a null one come last.
@@ -112,60 +116,57 @@ def signed(h: int) -> int:
 
 
 def drop_list(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> DataFrame:
-    """__owner (the doc_id, LAST for null) and __gone, the keys whose lines that document loses."""
+    """__owner (the doc_id, LAST for null), __mark (a hash of the text) and __gone, the keys of the lines that such a row loses."""
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("owner"), "text")
+    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("owner"), F.xxhash64("text").alias("mark"), "text")
     bounds = ids.agg(F.percentile_approx("owner", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     batch = F.lit(0)
     for b in bounds:
         batch = batch + (F.col("owner") > b).cast("int")
     lines = (
         ids.filter(F.col("text").isNotNull())
-        .select("owner", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
-        .select("owner", line_key(F.col("line")).alias("key"))
+        .select("owner", "mark", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
+        .select("owner", "mark", line_key(F.col("line")).alias("key"))
         .filter(F.length("key") >= min_chars)
-        .select("owner", batch.cast("int").alias("batch"), F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
+        .select("owner", "mark", batch.cast("int").alias("batch"), F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
     )
     lines = cut(lines, "line_hashes", ["batch"])
-    runs, found = LineRuns(spark, fanout), []
-    for b in range(len(bounds) + 1):
-        own = lines.filter(F.col("batch") == b)
-        keys = own.groupBy(*KEY).agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
-        keys = cut(runs.known(keys), "batch_keys")
-        if b < len(bounds):
-            runs.add(keys.filter(~F.col("known")))
-        losing = keys.filter(F.col("known") | (F.col("first") < F.col("last")))
-        losing = losing.select(*KEY, F.when(~F.col("known"), F.col("first")).alias("first"), F.lit(b).alias("b"))
-        found.append(losing)
-    runs.drop()
-    losing = found[0]
-    for more in found[1:]:
-        losing = losing.unionByName(more)
-    return (
-        lines.join(losing, (lines.k1 == losing.k1) & (lines.k2 == losing.k2) & (lines.batch == losing.b))
-        .filter(F.col("first").isNull() | (F.col("owner") != F.col("first")))
-        .groupBy("owner")
-        .agg(F.collect_set(F.struct(lines.k1, lines.k2)).alias("gone"))
-        .select(F.col("owner").alias("__owner"), F.col("gone").alias("__gone"))
-    )
+    runs, losing = LineRuns(spark, fanout), None
+    try:
+        for b in range(len(bounds) + 1):
+            own = lines.filter(F.col("batch") == b)
+            keys = own.groupBy(*KEY).agg(F.min("owner").alias("first"), F.max("owner").alias("last"), F.count(F.lit(1)).alias("n"))
+            keys = cut(runs.known(keys), "batch_keys")
+            if b < len(bounds):
+                runs.add(keys.filter(~F.col("known")))
+            found = keys.filter(F.col("known") | (F.col("first") < F.col("last")))
+            found = found.select(*KEY, F.lit(b).alias("batch"), F.when(~F.col("known"), F.col("first")).alias("first"), F.lit(True).alias("losing"), "n")
+            losing = found if losing is None else losing.unionByName(found)
+    finally:
+        runs.drop()
+    met = join_unique(lines, losing, [*KEY, "batch"], "n", lines.count(), F.struct("owner", "mark"))
+    lost = met.filter(F.col("losing") & (F.col("first").isNull() | (F.col("owner") != F.col("first"))))
+    return lost.groupBy(F.col("owner").alias("__owner"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct(*KEY)).alias("__gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """docs with `text` less its dropped lines, and n_lines (before) and n_dropped."""
-    gone = drop_list(docs, min_chars, batches, fanout)
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    made = ("text", "n_lines", "n_dropped")
+    plain, rest, back = by_place(docs, ("doc_id", "text"), made)
+    rest = [c for c in rest if c != "text"]
+    gone = drop_list(plain.select("doc_id", "text"), min_chars, batches, fanout)
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
     def without(text: pd.Series, k1: pd.Series, k2: pd.Series) -> pd.DataFrame:
         return kept_lines(text, k1, k2, min_chars)
 
-    keyed = docs.select(*rest, text_or_empty().alias("__t"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("__o"))
-    joined = keyed.join(gone, F.col("__o") == F.col("__owner"), "left")
+    keyed = plain.select(*rest, text_or_empty().alias("__t"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("__o"), F.xxhash64("text").alias("__m"))
+    joined = keyed.join(gone, (F.col("__o") == F.col("__owner")) & (F.col("__m") == F.col("__mark")), "left")
     lines = (F.length("__t") - F.length(F.translate("__t", "\n", "")) + 1).cast("long").alias("n_lines")
     whole = joined.filter(F.col("__gone").isNull()).select(*rest, F.col("__t").alias("text"), lines, F.lit(0).cast("long").alias("n_dropped"))
     some = joined.filter(F.col("__gone").isNotNull()).select(*rest, lines, without("__t", F.col("__gone.k1"), F.col("__gone.k2")).alias("__r"))
     some = some.select(*rest, F.col("__r.text").alias("text"), "n_lines", F.col("__r.n").alias("n_dropped"))
-    return whole.unionByName(some)
+    return back(whole.unionByName(some))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

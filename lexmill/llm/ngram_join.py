@@ -12,12 +12,13 @@ component are not opened, as no link could add to it.
 
 The order puts tokens that occur again and again in a part of the table last (a bounded list of the most frequent is
 broadcast), so that passages which very many documents share are not looked up; any order gives the same
-links. MinHash only makes groups, finds easy links early and saves work: links do not hang on it.
+links. With B parts of the table a token that f documents have, and that isn't seen twice in enough of the parts, has f * f below
+about 24 * B: what such tokens cost grows in proportion to the table. MinHash only makes groups, finds easy links early and saves work: links do not hang on it.
 
 Defined results: null and wordless texts have an empty set and link with nothing; texts of fewer than five words have their whole
-sequence as one shingle; rows that share a doc_id are one node; rows with a null doc_id are linked with nothing and have a null
-component; a lone document is its own component; an empty table gives no rows. Other columns of the input are not looked at;
-`keep_one` returns them, whatever their names.
+sequence as one shingle; rows that share a doc_id are one node, whatever their texts; rows with a null doc_id are linked with nothing and have a null
+component; a lone document is its own component; texts are taken whole, however long; an empty table gives no rows. Other columns of the
+input are not looked at; `keep_one` returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import cut, documents, width
+from .common import by_place, cut, documents, join_unique, width
 from .components import components
 
 WORDS = 5
@@ -182,8 +183,11 @@ def partition(reps: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """
     heads = components(pairs).select("id", F.col("root").alias("head"))
     family = reps.select("id", "n", "fp1").join(heads, "id", "left").select("id", "n", "fp1", F.coalesce("head", "id").alias("head"))
-    many = family.groupBy("head").agg(F.count(F.lit(1)).alias("many"))
-    placed = family.join(many, "head").join(roots, "id", "left")
+    family = cut(family, "families")
+    many = family.groupBy("head").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    many = cut(many.select("head", "many", F.col("many").alias("n_rows")), "family_sizes")
+    # No task gets a whole family: the sizes of the few that are large are broadcast.
+    placed = join_unique(family, many, ["head"], "n_rows", reps.count(), F.col("id")).fillna(1, ["many"]).join(roots, "id", "left")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / GROUP))
     return placed.select("id", "n", "fp1", F.coalesce("root", "id").alias("comp"), F.when(F.col("many") == 1, F.col("id")).otherwise(F.xxhash64("head", chunk)).alias("g"))
 
@@ -299,11 +303,12 @@ def links_inside(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, comps
     m = len(sizes)
     begins = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     many = np.diff(np.concatenate((begins, [len(tokens)])))
-    shared = np.zeros((m, m), np.float32)
+    kind = np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64  # whole numbers are exact up to there
+    shared = np.zeros((m, m), kind)
     wide = begins[many > max(16, m // 16)]
     length = many[many > max(16, m // 16)]
     for k in range(0, len(wide), 1024):
-        block = np.zeros((m, min(1024, len(wide) - k)), np.float32)
+        block = np.zeros((m, min(1024, len(wide) - k)), kind)
         for j, (a, n) in enumerate(zip(wide[k : k + 1024], length[k : k + 1024])):
             block[owner[a : a + n], j] = 1
         shared += block @ block.T
@@ -318,7 +323,8 @@ def links_inside(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, comps
             flat[pair % m * m + pair // m] += times
     found: set[tuple[int, int]] = set()
     for i in range(m):
-        good = (DEN * shared[i] >= NUM * (sizes[i] + sizes - shared[i])) & (comps != comps[i])
+        both = shared[i].astype(np.int64)
+        good = (DEN * both >= NUM * (sizes[i] + sizes - both)) & (comps != comps[i])
         found.update((min(int(comps[i]), int(c)), max(int(comps[i]), int(c))) for c in np.unique(comps[good]))
     root: dict[int, int] = {}
 
@@ -339,13 +345,19 @@ def links_inside(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, comps
 def open_groups(docs: DataFrame, placed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Links a, b between a query's and a member's component, one for each pair of query and component."""
     mixed = placed.groupBy("g").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("g")
-    opened = wanted.select("g").union(mixed).distinct()
-    members = placed.join(opened, "g").select("g", F.lit(0).alias("role"), "id", "comp")
-    queries = wanted.join(placed.select(F.col("id").alias("q"), "comp"), "q").select("g", F.lit(1).alias("role"), F.col("q").alias("id"), "comp")
+    # A group that very many queries open is opened in several tasks, each with its members and about GROUP of the queries.
+    asking = wanted.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    chunks = F.ceil(F.col("n") / GROUP).cast("int")
+    asking = cut(asking.select("g", "n", chunks.alias("chunks")), "asking")
+    opened = asking.select("g", "chunks").union(mixed.select("g", F.lit(1))).groupBy("g").agg(F.max("chunks").alias("chunks"))
+    members = placed.join(opened, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "id", "comp")
+    dealt = join_unique(wanted, asking, ["g"], "n", wanted.count(), F.col("q"))
+    dealt = dealt.select("g", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"), "q")
+    queries = dealt.join(placed.select(F.col("id").alias("q"), "comp"), "q").select("g", "chunk", F.lit(1).alias("role"), F.col("q").alias("id"), "comp")
     asked = cut(members.union(queries), "asked")
-    ids = asked.select("id").distinct().join(placed.select("id", "fp1"), "id")
+    ids = asked.select("id").distinct().join(placed.select("id", "fp1"), "id").distinct()
     sets = sets_of(docs, ids)
-    rows = asked.join(sets, "id").repartition(width(docs.sparkSession), "g").sortWithinPartitions("g", "role", "id")
+    rows = asked.join(sets, "id").repartition(width(docs.sparkSession), "g", "chunk").sortWithinPartitions("g", "chunk", "role", "id")
 
     def index(members):
         sets = [np.frombuffer(t, np.uint64) for _, _, t in members]
@@ -368,31 +380,31 @@ def open_groups(docs: DataFrame, placed: DataFrame, wanted: DataFrame) -> DataFr
         group, members, table = None, [], None
         for batch in batches:
             found = []
-            for g, role, i, comp, tokens in zip(*(batch.column(c).to_pylist() for c in ("g", "role", "id", "comp", "tokens"))):
-                if g != group:
-                    found += close(members, table)
-                    group, members, table = g, [], None
+            for g, chunk, role, i, comp, tokens in zip(*(batch.column(c).to_pylist() for c in ("g", "chunk", "role", "id", "comp", "tokens"))):
+                if (g, chunk) != group:
+                    found += [] if table else inside(group, members, None)
+                    group, members, table = (g, chunk), [], None
                 if role == 0:
                     members.append((i, comp, tokens))
                 else:
                     if table is None and members:
-                        found += close(members, None)
                         table = index(members)
+                        found += inside(group, members, table)
                     if table is not None:
                         found += links(table, (i, comp, tokens))
             yield out(found)
-        yield out(close(members, table))
+        yield out([] if table else inside(group, members, None))
 
-    def close(members, table):
-        """Links inside a group, which are looked for once: before its first query, or at its end."""
-        if table is not None or len({c for _, c, _ in members}) < 2:
+    def inside(group, members, table):
+        """Links inside a group, which are looked for once: in its first task, before its first query or at its end."""
+        if len({c for _, c, _ in members}) < 2 or group[1]:
             return []
-        return links_inside(*index(members))
+        return links_inside(*(table or index(members)))
 
     def out(found):
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.select("g", "role", "id", "comp", "tokens").mapInArrow(run, "a long, b long")
+    return rows.select("g", "chunk", "role", "id", "comp", "tokens").mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -410,20 +422,32 @@ def link(docs: DataFrame) -> DataFrame:
     posted = post(texts, placed, frequent_tokens(signed), width(spark))
     wanted = cut(qualifying(meetings(posted), placed), "wanted")
     more = open_groups(texts, placed, wanted)
+    # Rows that share a doc_id are one node: what each of them stands for is linked with the doc_id.
+    shared = cut(own.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp1").alias("lo"), F.max("fp1").alias("hi")).filter("lo <> hi").select("doc_id"), "shared_ids")
+    twice = not shared.isEmpty()
+    if twice:
+        more = more.union(able.join(shared, "doc_id").join(reps.select("fp1", "fp2", "id"), ["fp1", "fp2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     # Links between components of the easy links; a component is named by its smallest id, so that both kinds fit together.
     roots = components(easy.union(more))
     named = reps.select("fp1", "fp2", "id").join(roots, "id", "left").select("fp1", "fp2", F.coalesce("root", "id").alias("component_id"))
     own_rows = own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "fp1", "fp2")
     linked = own_rows.join(named, ["fp1", "fp2"], "left")
-    alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    if twice:  # a row without words has the component of its doc_id's other rows
+        named_ids = shared.join(roots, F.col("doc_id") == F.col("id")).select("id", "root")
+        linked = linked.join(named_ids, F.col("doc_id") == F.col("id"), "left").withColumn("doc_root", F.col("root")).drop("id", "root")
+        linked = linked.withColumn("component_id", F.coalesce("doc_root", "component_id")).withColumn("alone", F.coalesce("doc_root", "doc_id"))
+    else:
+        linked = linked.withColumn("alone", F.col("doc_id"))
+    alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("alone"))
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, of each component the rows of its smallest doc_id alone; rows with a null doc_id stay."""
-    found = link(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__c"))
+    plain, names, back = by_place(docs, ("doc_id", "text"))
+    found = link(plain).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__c"))
     gone = found.filter("__id <> __c").select("__id")
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    return back(plain.join(gone, F.col("doc_id") == F.col("__id"), "left_anti").select(*names))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

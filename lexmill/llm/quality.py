@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import documents
+from .common import by_place, documents
 
 #: Percent of the characters of words that windows of n words which repeat an earlier one may cover.
 COVERAGE = {5: 30, 7: 25, 10: 20}
@@ -93,7 +93,8 @@ def measure_slice(part: K.Slice) -> np.ndarray:
 
 def measure(docs: DataFrame) -> DataFrame:
     """docs with COUNTS."""
-    rest = [f for f in docs.schema.fields if f.name not in COUNTS]
+    plain, names, back = by_place(docs, ("text",), tuple(COUNTS))
+    rest = [plain.schema[n] for n in names]
     out = T.StructType([*rest, *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches):
@@ -102,7 +103,7 @@ def measure(docs: DataFrame) -> DataFrame:
             counts = np.concatenate(found, axis=1) if found else np.zeros((len(COUNTS), 0), np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *(pa.array(c) for c in counts)], names=[f.name for f in out.fields])
 
-    return docs.select(*(f.name for f in rest)).mapInArrow(run, out)
+    return back(plain.select(*names).mapInArrow(run, out))
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -116,9 +117,8 @@ def judge(measured: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns that they came with, whatever their names."""
-    own = {c: "text" if c == "text" else f"__c{i}" for i, c in enumerate(docs.columns)}
-    judged = judge(measure(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))))
-    return judged.filter("kept").select(*(F.col(n).alias(c) for c, n in own.items()))
+    plain, names, back = by_place(docs, ("text",))
+    return back(judge(measure(plain)).filter("kept").select(*names))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

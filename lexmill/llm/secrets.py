@@ -6,11 +6,11 @@ ledger lacks, once for each blob however many rows hold it, appends what it find
 row. A changed rule gets a new version: its findings alone are made anew, over blobs already known.
 
 Spans come from built-in functions alone: the pieces between matches and the matches themselves, both by the same
-pattern, give positions as running sums of their lengths.
+pattern, give positions as running sums of their lengths, in blocks, so that a text with very many matches takes time in proportion.
 
 Defined results: a null text is empty and has no span; a blob with a third of all rows is scanned once; findings keep
-the order of start, then of the rule; repeated rows get the same findings; an empty table gives no rows. Other columns
-pass through `scan`, whatever their names, but for those that it returns.
+the order of start, then of the rule in the caller's list; repeated rows get the same findings; texts are searched whole, however
+long; an empty table gives no rows. Other columns pass through `scan`, whatever their names, but for those that it returns.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, scratch, text_or_empty
+from .common import by_place, documents, scratch, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -35,11 +35,12 @@ class Rule:
     hint: str = "="  # a pattern without which a text has no match
 
 
-# Fixed values of the contract: the three base rules.
+# Fixed values of the contract: the three base rules. A run of the letters and digits of `access` or `hex` is matched whole or, being
+# too short, not at all: the least length stands in the pattern, which finds the same spans as a check afterwards.
 BASE = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}$""", r"[:=]"),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", r"^.{20,}$", r"AKIA"),
-    Rule("hex", 1, r"[0-9a-f]+", r"^.{24,}$", r"[0-9a-f]{24}"),
+    Rule("access", 1, r"AKIA[A-Z0-9]{16,}", None, r"AKIA"),
+    Rule("hex", 1, r"[0-9a-f]{24,}", None, r"[0-9a-f]{24}"),
 )
 # Public formats of keys, from their issuers' documentation.
 MORE = (
@@ -49,28 +50,52 @@ MORE = (
 )
 RULES = BASE + MORE
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rule", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())])
-LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("spans", T.ArrayType(SPAN))])
+PLACE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("spans", T.ArrayType(PLACE))])
+#: Matches whose positions are summed up together.
+BLOCK = 64
 
 
-def spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of SPAN for the rule's matches in text; positions are code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    between = F.split(text, rule.pattern, -1)
+def bound(value: Column, f) -> Column:
+    """f(value), value being worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def spans(text: Column, rule: Rule) -> Column:
+    """Array of PLACE for the rule's matches in text; positions are code points, end exclusive."""
+    none = F.array().cast(T.ArrayType(PLACE))
+    found, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
+    counts = (lambda m: F.lit(True)) if rule.counts is None else (lambda m: m.rlike(rule.counts))
+    lengths = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"), counts(m).alias("ok")))
+    lengths = F.filter(lengths, lambda x: x["m"].isNotNull())  # the last piece is followed by no match
+
+    def in_blocks(all_lengths: Column) -> Column:
+        last = F.floor((F.size(all_lengths) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_lengths, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def begins(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["b"] + x["m"]))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sums, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("rule"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        here = F.array(span) if rule.counts is None else F.when(x["m"].rlike(rule.counts), F.array(span)).otherwise(F.array().cast(T.ArrayType(SPAN)))
+        start = acc["at"] + x["b"]
+        end = start + x["m"]
+        here = F.when(x["ok"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
         return F.struct(end.alias("at"), F.concat(acc["out"], here).alias("out"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(T.ArrayType(SPAN)).alias("out"))
-    return F.when(text.rlike(rule.hint), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(T.ArrayType(SPAN)))
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def whole(all_lengths: Column) -> Column:
+        blocks = bound(in_blocks(all_lengths), lambda blocks: F.zip_with(blocks, begins(blocks), placed))
+        return F.when(F.size(all_lengths) > 0, F.flatten(blocks)).otherwise(none)
+
+    return F.when(text.rlike(rule.hint), bound(lengths, whole)).otherwise(none)
 
 
 class BlobLedger:
-    """What has been scanned, at `path` in the shared folder: blob, kind, version, spans."""
+    """What has been scanned, at `path` in the shared folder: blob, kind, version, spans. It knows nothing of any caller's list of rules."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch(spark, "ledger")
@@ -80,37 +105,51 @@ class BlobLedger:
     def rows(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
+    def done(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """blob and done: those of the rule versions that the ledger has of it."""
+        return self.rows().filter(chosen(rules)).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", F.col("version").cast("string"))).alias("done"))
+
     def add(self, docs: DataFrame, rules: tuple[Rule, ...]) -> None:
         """Scans the blobs of docs (blob, text) by those rules under which the ledger hasn't got them yet.
 
-        Each blob is brought together with what the ledger has of it; the text is carried once for each blob.
+        The ledger is asked with the hashes alone. Texts are then joined with the hashes that lack a rule: if these are few they are
+        broadcast and no text is shuffled. Each blob is scanned once.
         """
-        known = self.rows().groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", F.col("version").cast("string"))).alias("done"))
-        blobs = docs.groupBy("blob").agg(F.first("text").alias("text")).join(known, "blob", "left")
+        known = self.done(rules)
+        lacking = docs.select("blob").distinct().join(known, "blob", "left").filter(F.col("done").isNull() | (F.size("done") < len(rules)))
+        texts = docs.join(lacking.select(F.col("blob").alias("b"), "done"), F.col("blob") == F.col("b")).groupBy("blob").agg(F.first("text").alias("text"), F.first("done").alias("done"))
         asked = []
-        for i, rule in enumerate(rules):
+        for rule in rules:
             new = F.col("done").isNull() | ~F.array_contains("done", f"{rule.kind}:{rule.version}")
-            entry = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), spans(F.col("text"), rule, i).alias("spans"))
+            entry = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), spans(F.col("text"), rule).alias("spans"))
             asked.append(F.when(new, entry))
-        scanned = blobs.select("blob", F.inline(F.filter(F.array(*asked), lambda x: x.isNotNull())))
+        scanned = texts.select("blob", F.inline(F.filter(F.array(*asked), lambda x: x.isNotNull())))
         scanned.write.mode("append").parquet(self.path)
 
     def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
-        """blob and its spans under the given rule versions, sorted; blobs with none are left out."""
-        wanted = F.lit(False)
-        for rule in rules:
-            wanted = wanted | ((F.col("kind") == rule.kind) & (F.col("version") == rule.version))
-        hit = self.rows().filter(wanted & (F.size("spans") > 0))
-        return hit.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        """blob and its spans (SPAN, rule being the place in `rules`) under the given rule versions, sorted; blobs with none are left out."""
+        hit = self.rows().filter(chosen(rules) & (F.size("spans") > 0))
+        place = F.array_position(F.array(*(F.lit(rule.kind) for rule in rules)), F.col("kind")).cast("int") - 1
+        full = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place.alias("rule"), F.col("kind").alias("kind"), s["end"].alias("end")))
+        return hit.select("blob", full.alias("spans")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def chosen(rules: tuple[Rule, ...]) -> Column:
+    """Whether a row of the ledger is of one of the rule versions."""
+    out = F.lit(False)
+    for rule in rules:
+        out = out | ((F.col("kind") == rule.kind) & (F.col("version") == rule.version))
+    return out
 
 
 def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with blob and spans (array of start, rule, kind, end), empty where nothing is found."""
     ledger = ledger or BlobLedger(docs.sparkSession)
-    addressed = docs.select(*(c for c in docs.columns if c not in ("blob", "spans")), F.sha2(text_or_empty(), 256).alias("blob"))
+    plain, rest, back = by_place(docs, ("text",), ("blob", "spans"))
+    addressed = plain.select(*rest, F.sha2(text_or_empty(), 256).alias("blob"))
     ledger.add(addressed.select("blob", text_or_empty().alias("text")), rules)
-    joined = addressed.join(ledger.findings(rules), "blob", "left")
-    return joined.withColumn("spans", F.coalesce("spans", F.array().cast(T.ArrayType(SPAN))))
+    joined = addressed.join(ledger.findings(rules).withColumnRenamed("blob", "b"), F.col("blob") == F.col("b"), "left")
+    return back(joined.select(*rest, "blob", F.coalesce("spans", F.array().cast(T.ArrayType(SPAN))).alias("spans")))
 
 
 def written(found: Column) -> Column:

@@ -4,15 +4,16 @@ Rows of each source are shuffled by a seeded hash and ranked; a row's fractional
 source. Sorted by fractional rank, sources interleave in proportion, and equal cuts of that order give shards
 which all have the mixture of the whole and whose row counts differ by one at most (law `rows`).
 
-Both ranks are global: rows are range-partitioned by the whole sort key, so that a source with a third of all rows
-fills as many partitions as its size asks for. Texts are read once and never shuffled.
+Equal texts that would fit into one shard make a group, which stands in the stratum of one of its sources; all its rows have the
+fractional rank of the first. So a group stands in one place of the order, and only a group on which a cut falls is
+divided: one for each cut at most, which the law on rows then asks for. Rows of a larger group stay in their own sources.
 
-The seeded hash is that of the text, then of doc_id: rows of a source with equal texts stand side by side and share
-a shard unless a cut falls among them. The law on rows comes first: a group larger than a shard fills several.
+Orders are global: rows and groups are range-partitioned by the whole sort key, so that a source with a third of all rows
+fills as many partitions as its size asks for. Texts are read once and never shuffled.
 
-Defined results: a null text has size 8 and the CRC of no bytes, 0; null sources are one source; repeated rows are
-ranked in some order of their own, which changes no count; an empty table gives no rows. Other columns of the input
-are not looked at.
+Defined results: a null text has size 8 and the CRC of no bytes, 0, and is equal to an empty one; null sources are one source;
+repeated rows are ranked in some order of their own, which changes no count; texts are hashed whole, however long; an empty table gives no
+rows. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, ranked, text_or_empty
+from .common import cut, documents, join_unique, ranked, running, text_or_empty
 
 
 def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 29) -> DataFrame:
@@ -33,16 +34,23 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 29) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), text).alias("h1"),
         F.xxhash64(F.lit(seed), "doc_id").alias("h2"),
+        F.monotonically_increasing_id().alias("tie"),
     )
     narrow = cut(narrow, "shard_rows")
-    shuffled = [F.col("source").asc_nulls_first(), F.col("h1"), F.col("h2"), F.col("doc_id")]
-    inside = ranked(narrow, shuffled, "rank", within=["source"])
-    per_source = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "__s")
-    placed = inside.join(per_source, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    placed = placed.withColumn("at", (F.col("rank") + 0.5) / F.col("n"))
-    mixed = ranked(placed, [F.col("at"), F.xxhash64(F.lit(seed), "source"), F.col("h1"), F.col("h2"), F.col("doc_id")], "place")
+    total = narrow.count()
     # The first total % shards shards have one row more than the others.
-    least, more = divmod(narrow.count(), shards)
+    least, more = divmod(total, shards)
+    homes = narrow.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("home"), F.max("source").alias("other"), F.count("source").alias("named"))
+    homes = homes.filter(F.col("n").between(2, least) & ((F.col("home") != F.col("other")) | ((F.col("named") > 0) & (F.col("named") < F.col("n")))))
+    homed = join_unique(narrow, cut(homes.select("h1", "home", "n"), "shard_homes"), ["h1"], "n", total, F.struct("doc_id", "tie"))
+    homed = cut(homed.withColumn("home", F.coalesce("home", "source")).withColumn("hs", F.xxhash64(F.lit(seed), "home")), "shard_homed")
+    groups = homed.groupBy("home", "hs", "h1").agg(F.count(F.lit(1)).alias("n"))
+    groups = cut(running(groups, [F.col("home").asc_nulls_first(), F.col("h1")], {"before": "n"}), "shard_groups")
+    per_home = groups.groupBy(F.col("hs").alias("s")).agg(F.sum("n").alias("rows"), F.min("before").alias("start"))
+    at = (F.col("before") - F.col("start") + 0.5) / F.col("rows")
+    groups = cut(groups.join(per_home, F.col("hs") == F.col("s")).select("hs", "h1", "n", at.alias("at")), "shard_ranks")
+    placed = join_unique(homed, groups, ["hs", "h1"], "n", total, F.struct("doc_id", "tie"))
+    mixed = ranked(placed, [F.col(c) for c in ("at", "hs", "h1", "h2", "doc_id", "tie")], "place")
     turn = more * (least + 1)
     first = F.col("place") < turn
     shard = F.when(first, F.floor(F.col("place") / (least + 1))).otherwise(more + F.floor((F.col("place") - turn) / max(least, 1)))

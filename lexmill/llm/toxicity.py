@@ -14,8 +14,10 @@ that is used to fit the curve is scored without its own counts. Words in fewer t
 else, the scan of all documents above all, covers all rows and whole texts.
 
 Defined results: null, empty and wordless texts have no passage and get the curve's lowest score; without labelled rows of
-both kinds every score is 0; repeated rows get equal scores; an empty table gives no rows; rows with a null doc_id are
-not held out. Labels, language, source and doc_id are not looked at in scoring.
+both kinds every score is 0; repeated rows get equal scores; texts are scanned whole, however long, in linear time; of passages with
+equal scores all are returned; an empty table gives no rows; rows with a null doc_id are not held out; a document with several
+labels is toxic if one says so. Labels, language, source and doc_id are not looked at in scoring. Other columns pass through
+`score`, whatever their names, but for those that it returns.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents
+from .common import by_place, cut, documents
 
 #: Labelled rows that the model is fitted on, at most (about).
 TRAIN = 12_000
@@ -73,22 +75,28 @@ class Odds:
 
 
 def segments(steps: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments: score, first word, end. Each word is pushed and merged once."""
-    total = np.cumsum(steps)
-    stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
-    for i in np.flatnonzero(steps > 0).tolist():
-        left, right, first = float(total[i] - steps[i]), float(total[i]), i
-        skipped: list = []
-        while True:
-            while stack and stack[-1][0] >= left:
-                skipped.append(stack.pop())
-            if not stack or stack[-1][1] >= right:
-                break
-            left, _, first, _ = stack.pop()
-            skipped.clear()
-        stack.extend(reversed(skipped))
-        stack.append((left, right, first, i + 1))
-    return [(right - left, first, end) for left, right, first, end in stack]
+    """All maximal-scoring segments: score, first word, end.
+
+    Each candidate keeps a link to the last one before it that starts at a lower sum. A search goes along these links only, and
+    what it passes over is never met by a later one; a merge takes its candidates off the list. So the time is linear.
+    """
+    total, at = np.cumsum(steps), np.flatnonzero(steps > 0)
+    lefts, rights, firsts, ends, links = [], [], [], [], []  # sum before, sum after, first, end, link
+    for i, left, right in zip(at.tolist(), (total[at] - steps[at]).tolist(), total[at].tolist()):
+        first, j = i, len(lefts) - 1
+        while j >= 0 and lefts[j] >= left:
+            j = links[j]
+        while j >= 0 and rights[j] < right:
+            left, first, before = lefts[j], firsts[j], links[j]
+            for column in (lefts, rights, firsts, ends, links):
+                del column[j:]
+            j = before
+        lefts.append(left)
+        rights.append(right)
+        firsts.append(first)
+        ends.append(i + 1)
+        links.append(j)
+    return [(right - left, first, end) for left, right, first, end in zip(lefts, rights, firsts, ends)]
 
 
 def solve_lambda(values: np.ndarray, weights: np.ndarray) -> float:
@@ -157,7 +165,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     able = able.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = able.count()
     if n > most:
-        able = able.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+        able = able.filter(F.xxhash64("doc_id") < F.lit(int((most << 64) // n) - (1 << 63)))
     return docs.select("doc_id", "text").join(F.broadcast(able), "doc_id").select("text", "toxic")
 
 
@@ -206,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs without text, with score and passages (score, first word, end word of each significant one)."""
-    rest = [f for f in docs.schema.fields if f.name not in ("text", "score", "passages")]
+    plain, names, back = by_place(docs, ("text",), ("text", "score", "passages"))
+    rest = [plain.schema[n] for n in names if n != "text"]
     span = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType([*rest, T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(span))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -227,7 +236,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores = np.zeros(len(marks))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=out.names)
 
-    return docs.select(*(f.name for f in rest), "text").mapInArrow(run, out)
+    return back(plain.select(*(f.name for f in rest), "text").mapInArrow(run, out))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,7 +353,7 @@ def test_near_duplicates_compare_all_that_share_a_band(spark):
     texts = [prose(300 + i, 60 + i % 7 * 40) for i in range(60)]
     texts += texts[40:50] + [t[: len(t) - 4 * (i + 1)] + "abcd" * (i % 3) for i, t in enumerate(texts[20:40])] + ["", ""]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(table, bands=1, digits=1).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(table, least=0.8, bands=1, digits=1).collect()}
     prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(table).collect()}
     pick, keys = int(np.random.RandomState(0).choice(fingerprints.SAMPLES // 2, 1, replace=False)[0]), {}
     for i, fp in prints.items():
@@ -368,7 +368,7 @@ def test_near_duplicates_compare_all_that_share_a_band(spark):
                 low, high = sorted((want[i], want[j]))
                 want = {k: low if v == high else v for k, v in want.items()}
     assert got == want and [got[60 + i] for i in range(10)] == [want[40 + i] for i in range(10)] and got[91] == 90
-    small = fingerprints.near_roots(fingerprints.prints_of(table), bands=1, digits=1, block=5).collect()
+    small = fingerprints.near_roots(fingerprints.prints_of(table), least=0.8, bands=1, digits=1, block=5).collect()
     assert {i: c for i, c in want.items() if c != i} == {r["id"]: r["root"] for r in small if r["id"] != r["root"]}
     assert len({tuple(r) for r in map(tuple, small)}) == len(small)
 
