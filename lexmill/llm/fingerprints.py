@@ -39,7 +39,7 @@ PERIOD = 4096
 #: Texts are walked side by side, about GROUP characters at a time; fewer than FEW that are left are walked one by one.
 GROUP, FEW = 4_000_000, 24
 #: Least likeness of near duplicates, bands, samples of a band, members that are compared with each other in one task.
-LEAST, BANDS, DIGITS, BLOCK = 0.6, 32, 7, 4096
+LEAST, BANDS, DIGITS, BLOCK = 0.6, 32, 9, 4096
 LAST = 2**63 - 1
 
 
@@ -334,13 +334,19 @@ def group_links(high: int, prints: list[str], label: np.ndarray, side: np.ndarra
     return out
 
 
+def band_places(least: float, bands: int, digits: int) -> np.ndarray:
+    """The places of each band's samples: among those that all texts have but the very short ones, also at the next level."""
+    top = max(digits, int(least * (SAMPLES // 2)) - 2)
+    return np.sort(np.stack([np.random.RandomState(k).choice(top, digits, replace=False) for k in range(bands)]), axis=1)
+
+
 def band_rows(reps: DataFrame, least: float, bands: int, digits: int) -> DataFrame:
     """key, rep and head, the smallest of the key, of all band keys that several of reps (doc_id, fingerprint, all unlike) have.
 
     A text has keys at its own level; at the next one only if it can be like a text of that level, which is longer: if it has
     `least` of the most samples. Keys travel as packed numbers, by parts of the key space.
     """
-    picks = np.sort(np.stack([np.random.RandomState(k).choice(SAMPLES // 2, digits, replace=False) for k in range(bands)]), axis=1)
+    picks = band_places(least, bands, digits)
     shifts, parts = np.arange(digits, dtype=np.int64) * 4, width(reps.sparkSession)
 
     def band(batches):

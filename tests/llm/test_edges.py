@@ -51,35 +51,35 @@ def test_odd_column_names(spark, name):
 
 def long_text():
     r = random.Random(4)
-    words = [f"w{r.randrange(10**6)}" for _ in range(500_000)]
+    words = [f"w{r.randrange(10**6)}" for _ in range(300_000)]
     lines = [" ".join(words[i : i + 20]) for i in range(0, len(words), 20)]
     return "\n".join(lines) + "\nReleased under the MIT License.\npassword=hunter22"
 
 
 def test_very_long_text(spark):
-    """A text of 4 MB, twice, beside short ones: larger than any slice that the kernels work on."""
+    """A text of 2.3 MB, twice, beside short ones: larger than any slice that the kernels work on."""
     big = long_text()
     docs = spark.createDataFrame([(1, big, "a"), (2, big + " more", "a"), (3, "short", "b"), (4, big, "b")], "doc_id long, text string, source string").repartition(2)
     docs = common.cut(docs, "long_texts")
-    assert len(big) > 3_900_000
+    assert len(big) > 2_200_000
     by = lambda out: {r["doc_id"]: r for r in out.collect()}
     lines = by(line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped"))
-    assert [tuple(lines[i])[1:] for i in (1, 2, 3, 4)] == [(25_002, 0), (25_002, 25_001), (1, 0), (25_002, 25_002)]
+    assert [tuple(lines[i])[1:] for i in (1, 2, 3, 4)] == [(15_002, 0), (15_002, 15_001), (1, 0), (15_002, 15_002)]
     links = by(ngram_join.link(docs))
     words = WORD.findall(big.lower())
     assert [links[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 1, 3, 1] and links[1]["n_shingles"] == len(set(zip(*(words[k:] for k in range(5)))))
     counts = by(quality.measure(docs).select("doc_id", "n_words"))
-    assert counts[1]["n_words"] == 500_006
+    assert counts[1]["n_words"] == 300_006
     found = by(secrets.scan(docs).select("doc_id", "spans"))
     assert [s["start"] for s in found[1]["spans"]] == [len(big) - 17]
     assert by(licenses.scan(docs))[2]["license"] == "MIT-notice"
     tokens = by(bpe.encode(docs, *bpe.default_vocabulary()).select("doc_id", "n_tokens"))
-    assert tokens[1]["n_tokens"] == tokens[4]["n_tokens"] > 500_000
+    assert tokens[1]["n_tokens"] == tokens[4]["n_tokens"] > 300_000
     near = by(fingerprints.fingerprints(docs))
     assert near[1]["fingerprint"] == near[4]["fingerprint"] and near[1]["n_chars"] == len(big)
     assert {i: r["class_id"] for i, r in by(fingerprints.near_duplicates(docs)).items()} == {1: 1, 2: 1, 3: 3, 4: 1}
     assert by(toxicity.score(docs, model()))[1]["score"] == by(toxicity.score(docs, model()))[4]["score"]
-    assert {r["size"] for r in mixing.mix(docs).collect()} == {500_006, 500_007, 1}
+    assert {r["size"] for r in mixing.mix(docs).collect()} == {300_006, 300_007, 1}
     assert {r["size"] for r in sharding.shard_rows(docs, 2).collect()} == {len(big) + 8, len(big) + 13, 13}
 
 
