@@ -1,56 +1,56 @@
-"""Rendered exports as strings, one a row: a due-diligence memo, a filing, a review pack."""
+"""Rendered exports as strings, one a row: a due-diligence memo, a filing, a review pack. All are column expressions."""
 
 from __future__ import annotations
 
-from html import escape
-
 from pyspark.sql import Column
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from ..functions import boilerplate as B
+from ..functions.boilerplate import fill
+from ..functions.text import html_escape, strip
+
+
+def either(x: Column, other: str = "") -> Column:
+    return F.when(F.coalesce(x, F.lit("")) == "", other).otherwise(x)
+
+
+def lines(array: Column, line) -> Column:
+    """Each element as a line that begins with a newline."""
+    return F.array_join(F.transform(F.coalesce(array, F.array()), lambda x: F.concat(F.lit("\n"), line(x))), "")
 
 
-def memo(contract: str, doc_type: str, summary: str, clauses: list, risks: list) -> str:
-    """A contract's section of the memo, in Markdown; clauses: (name, value, quote, verified)."""
-    out = [f"## {contract}", "", f"*{doc_type}*" if doc_type else "", summary or "", ""]
-    for c in clauses if clauses is not None else []:
-        flag = "" if c["verified"] or not c["quote"] else " (unverified)"
-        out.append(f"- **{c['name']}**: {c['value'] or 'Not found'}{flag}")
-    if risks is not None and len(risks):
-        out += ["", "### Key risks", *(f"- {r}" for r in risks)]
-    return "\n".join(out).strip() + "\n"
+def memo(contract: Column, doc_type: Column, summary: Column, clauses: Column, risks: Column) -> Column:
+    """A contract's section of the memo, in Markdown; clauses: array of struct name, value, quote, verified; risks: array of text."""
 
+    def clause(c: Column) -> Column:
+        doubt = ~F.coalesce(c["verified"], F.lit(False)) & (F.coalesce(c["quote"], F.lit("")) != "")
+        return fill("- **", c["name"], "**: ", either(c["value"], "Not found"), F.when(doubt, " (unverified)").otherwise(""))
 
-def filing_html(registrant: str, sections: list, exhibits: list) -> str:
-    """Cover, item sections, the exhibit index and a signature; sections: (item, title, disclosure), exhibits: (number, description)."""
-    dated = B.report_date(" ".join(s["disclosure"] or "" for s in sections))
-    body = [f"<h1>{escape(registrant or '')}</h1><p>Date of report: {escape(dated)}</p>"]
-    for s in sections:
-        body.append(f"<h2>Item {escape(s['item'])} {escape(s['title'] or '')}</h2>")
-        for p in B.disclosure_paragraphs(s["disclosure"], s["item"]):
-            body.append("<p>" + "".join(f"<b>{escape(t)}</b>" if bold else escape(t) for t, bold in B.bold_segments(p)) + "</p>")
-    rows = "".join(f"<tr><td>{escape(e['number'])}</td><td>{escape(e['description'])}</td></tr>" for e in exhibits)
-    body.append(f"<h2>Item 9.01 Financial Statements and Exhibits</h2><table>{rows}</table><h2>SIGNATURE</h2><p>{escape(registrant or '')}</p>")
-    return "<html><body>" + "".join(body) + "</body></html>"
+    kind = F.when(F.coalesce(doc_type, F.lit("")) == "", "").otherwise(fill("*", doc_type, "*"))
+    head = fill("## ", contract, "\n\n", kind, "\n", either(summary), "\n")
+    some = F.coalesce(F.size(risks), F.lit(0)) > 0
+    return fill(strip(fill(head, lines(clauses, clause), F.when(some, fill("\n\n### Key risks", lines(risks, lambda r: fill("- ", r)))).otherwise(""))), "\n")
 
 
-def review_pack(verdict: str, items: list, flags: list) -> str:
-    """Reconciled facts by status and the compliance checks, in Markdown."""
-    out = [f"# Review: {verdict}"]
-    for status in ("fabricated", "omitted", "derived", "matched"):
-        own = [i for i in items if i["status"] == status]
-        if own:
-            out += ["", f"## {status} ({len(own)})", *(f"- {i['raw']} [{i['kind']}] {i['source_snippet']}".rstrip() for i in own)]
-    return "\n".join([*out, "", "## Compliance", *(f"- [{'x' if f['satisfied'] else ' '}] {f['requirement']}" for f in flags)]) + "\n"
+def filing_html(registrant: Column, sections: Column, exhibits: Column) -> Column:
+    """Cover, item sections, the exhibit index and a signature; sections: array of struct item, title, disclosure; exhibits: of number, description."""
+    name, dated = html_escape(either(registrant)), html_escape(B.report_date(F.transform(sections, lambda s: s["disclosure"])))
 
+    def section(s: Column) -> Column:
+        body = F.transform(B.disclosure_paragraphs(s["disclosure"], s["item"]), lambda p: fill("<p>", B.bold_html(p), "</p>"))
+        return fill("<h2>Item ", html_escape(s["item"]), " ", html_escape(either(s["title"])), "</h2>", F.array_join(body, ""))
 
-def memo_column(*columns: str) -> Column:
-    return B.over(memo, T.StringType(), *columns)
+    rows = F.transform(exhibits, lambda e: fill("<tr><td>", html_escape(e["number"]), "</td><td>", html_escape(e["description"]), "</td></tr>"))
+    cover, own = fill("<h1>", name, "</h1><p>Date of report: ", dated, "</p>"), F.array_join(F.transform(sections, section), "")
+    return fill("<html><body>", cover, own, "<h2>Item 9.01 Financial Statements and Exhibits</h2><table>", F.array_join(rows, ""), "</table><h2>SIGNATURE</h2><p>", name, "</p></body></html>")
 
 
-def filing_column(*columns: str) -> Column:
-    return B.over(filing_html, T.StringType(), *columns)
+def review_pack(verdict: Column, items: Column, flags: Column) -> Column:
+    """Reconciled facts by status and the compliance checks, in Markdown; items: array of struct status, raw, kind, source_snippet; flags: of requirement, satisfied."""
 
+    def part(status: str) -> Column:
+        own = F.filter(items, lambda i: i["status"] == status)
+        listed = lines(own, lambda i: F.rtrim(fill("- ", i["raw"], " [", i["kind"], "] ", either(i["source_snippet"]))))
+        return F.when(F.size(own) > 0, fill(f"\n\n## {status} (", F.size(own).cast("string"), ")", listed)).otherwise("")
 
-def review_column(*columns: str) -> Column:
-    return B.over(review_pack, T.StringType(), *columns)
+    return fill("# Review: ", verdict, *map(part, ("fabricated", "omitted", "derived", "matched")), "\n\n## Compliance", lines(flags, lambda f: fill("- [", F.when(f["satisfied"], "x").otherwise(" "), "] ", f["requirement"])), "\n")

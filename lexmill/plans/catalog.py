@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import boilerplate as B
 from ..functions import ranking
@@ -223,7 +222,7 @@ def citations(spark, sf):
     return d.select("doc_id", X.citation(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("doc_id") % 5, F.col("lang")).alias("citation"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, left(text, 30) AS s FROM conversations) SELECT conv_id, min(turn) AS first_turn, string_agg(s, chr(10) ORDER BY turn) AS joined FROM t GROUP BY conv_id")
+@query("SELECT conv_id, min(turn) AS first_turn, string_agg(text, chr(10) ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
 def precedent_groups(spark, sf):
     c = S.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("s"))
     rows = c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("rows"))
@@ -279,17 +278,22 @@ def scrub_redactions(spark, sf):
 _NORM = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({_NORM.format('d.text')}, {_NORM.format('b.text')}) AND d.doc_id % 50 = b.item_id % 50")
+@query(f"WITH b AS MATERIALIZED (SELECT item_id, {_NORM.format('text')} AS q FROM benchmark), d AS MATERIALIZED (SELECT doc_id, {_NORM.format('text')} AS t FROM documents) SELECT item_id, doc_id FROM b JOIN d ON contains(t, q)")
 def verify_quotes(spark, sf):
     b = S.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
     d = S.table(spark, sf, "documents").select("doc_id", "text")
     return search.find_quotes(b, d)
 
 
-@query(f"""WITH q AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents WHERE length(text) >= 200 AND NOT contains(text, '...') AND NOT contains(text, '…')),
-s AS (SELECT doc_id, t, {_NORM.format("substr(t, 11, 30)")} AS a, {_NORM.format("substr(t, 101, 30)")} AS b FROM q)
-SELECT doc_id, a <> '' AND b <> '' AND strpos(t, a) > 0 AND strpos(substr(t, strpos(t, a) + length(a)), b) > 0 AS forward,
-  strpos(t, b) > 0 AND strpos(substr(t, strpos(t, b) + length(b)), a) > 0 AS backward FROM s""")
+# Pieces between ellipses, found one after the other, or else the quote as a whole.
+_HELD = "((len({0}) > 0 AND list_reduce(list_prepend(t, {0}), lambda rest, p: CASE WHEN strpos(rest, p) > 0 THEN substr(rest, strpos(rest, p) + length(p)) END) IS NOT NULL) OR contains(t, {1}))"
+_PIECES = "list_filter(list_transform(regexp_split_to_array({0}, '\\.{{3}}|…'), lambda x: " + _NORM.format("x") + "), lambda x: x <> '')"
+
+
+@query(f"""WITH q AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents),
+s AS (SELECT doc_id, t, substr(t, 11, 30) || ' ... ' || substr(t, 101, 30) AS f, substr(t, 101, 30) || ' … ' || substr(t, 11, 30) AS b FROM q),
+p AS (SELECT *, {_PIECES.format("f")} AS fs, {_PIECES.format("b")} AS bs FROM s)
+SELECT doc_id, {_HELD.format("fs", _NORM.format("f"))} AS forward, {_HELD.format("bs", _NORM.format("b"))} AS backward FROM p""")
 def quote_ellipsis(spark, sf):
     q = S.table(spark, sf, "documents").select("doc_id", X.squeeze(F.col("text")).alias("t"))
     a, b = F.substring("t", 11, 30), F.substring("t", 101, 30)
@@ -383,7 +387,7 @@ def currency_facts(spark, sf):
     return found.select("doc", F.round(F.col("num").cast("double"), 2).alias("amount"))
 
 
-@query("SELECT l_orderkey AS doc, l_linenumber AS line, round(l_discount, 4) AS share FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey AS doc, l_linenumber AS line, round(l_discount, 4) AS share FROM lineitem")
 def percent_facts(spark, sf):
     line = S.table(spark, sf, "lineitem")
     t = line.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.concat(F.lit("a discount of "), F.round(F.col("l_discount") * 100, 0).cast("int").cast("string"), F.lit(" percent applies")).alias("t"))
@@ -574,9 +578,12 @@ def exhibit_numbers(spark, sf):
     return filing.number_exhibits(docs).select("filing", "pos", "number")
 
 
-@query("""WITH n AS (SELECT l_orderkey AS filing, least(count(*), 3) AS n FROM lineitem GROUP BY 1)
+_LISTED = "CASE WHEN n = 2 THEN {0}[1] || ' and ' || {0}[2] ELSE array_to_string({0}[1:n - 1], ', ') || ', and ' || {0}[n] END"
+
+
+@query(f"""WITH n AS (SELECT l_orderkey AS filing, count(*) AS n FROM lineitem GROUP BY 1), m AS (SELECT filing, n, list_transform(range(1, n + 1), lambda i: 'Note' || i) AS a, list_transform(range(1, n + 1), lambda i: '10.' || i) AS e FROM n)
 SELECT filing, CASE n WHEN 1 THEN 'The foregoing description of the Note1 does not purport to be complete and is qualified in its entirety by reference to the full text of such Note1, a copy of which is filed as Exhibit 10.1 to this Current Report on Form 8-K and is incorporated herein by reference.'
- ELSE 'The foregoing descriptions of the ' || CASE n WHEN 2 THEN 'Note1 and Note2' ELSE 'Note1, Note2, and Note3' END || ' do not purport to be complete and are qualified in their entirety by reference to the full text of such documents, copies of which are filed as Exhibits ' || CASE n WHEN 2 THEN '10.1 and 10.2' ELSE '10.1, 10.2, and 10.3' END || ' to this Current Report on Form 8-K and are incorporated herein by reference.' END AS sentence FROM n""")
+ ELSE 'The foregoing descriptions of the ' || {_LISTED.format("a")} || ' do not purport to be complete and are qualified in their entirety by reference to the full text of such documents, copies of which are filed as Exhibits ' || {_LISTED.format("e")} || ' to this Current Report on Form 8-K and are incorporated herein by reference.' END AS sentence FROM m""")
 def combined_qualifier(spark, sf):
     n = S.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("filing")).agg(F.count(F.lit(1)).alias("n"))
     made = lambda prefix: F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: F.concat(F.lit(prefix), i.cast("string")))
@@ -591,8 +598,9 @@ def supplement_fill(spark, sf):
     return o.select(F.col("o_orderkey").alias("doc"), filing.fill_gaps(F.lit("a [GAP] b [GAP] c [GAP]"), fills, "[GAP]").alias("text"))
 
 
-@query("""SELECT doc_id, i::BIGINT AS n, right(array_to_string(p[1:i + 1], ' the '), 70) AS before, left(array_to_string(p[i + 2:], ' the '), 40) AS after
-FROM (SELECT doc_id, p, unnest(generate_series(0, len(p) - 2)) AS i FROM (SELECT doc_id, string_split(text, ' the ') AS p FROM documents WHERE length(text) < 2000))""")
+@query("""WITH p AS (SELECT doc_id, text, unnest(string_split(text, ' the ')) AS part, generate_subscripts(string_split(text, ' the '), 1) AS i FROM documents),
+g AS (SELECT doc_id, text, i, (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + 5 * (i - 1))::BIGINT AS pos, count(*) OVER (PARTITION BY doc_id) AS k FROM p)
+SELECT doc_id, (i - 1)::BIGINT AS n, substr(text, greatest(pos - 70, 0) + 1, least(pos, 70)) AS before, substr(text, pos + 6, 40) AS after FROM g WHERE i < k""")
 def gap_list(spark, sf):
     d = S.table(spark, sf, "documents")
     return d.select("doc_id", F.inline(filing.gaps(F.col("text"), " the "))).withColumn("n", F.col("n").cast("long"))
@@ -630,11 +638,19 @@ def audit_activity(spark, sf):
     return S.table(spark, sf, "events").groupBy("event_type", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("w.start").alias("hour"), "n")
 
 
-@query("SELECT doc_id, sha256(regexp_replace('Item 1.01 Entry.' || chr(10) || text, '^\\s+|\\s+$', '', 'g')) AS section_sha256 FROM documents WHERE NOT regexp_matches(text, '(?im)^\\s*(Item\\s|SIGNATURE)')")
+_HEADING = r"(?m)^\s*Item[\s\x{00A0}]+\d\.\d\d\b[.\s]*\w*"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, 'Item 1.01 Entry.' || chr(10) || text || chr(10) || 'Item 8.01 Other.' || chr(10) || 'rest' AS t FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '{_HEADING}') AS hs, string_split_regex(t, '{_HEADING}') AS ps FROM d),
+u AS (SELECT doc_id, unnest(hs) AS h, unnest(ps[1:len(hs)]) AS p, generate_subscripts(hs, 1) AS i FROM h),
+w AS (SELECT doc_id, h, (sum(length(p) + length(h)) OVER (PARTITION BY doc_id ORDER BY i) - length(h))::BIGINT AS pos FROM u),
+e AS (SELECT doc_id, min(pos) AS stop FROM w WHERE pos > 20 AND regexp_extract(h, '(\d\.\d\d)', 1) <> '1.01' AND lower(regexp_extract(h, '\d\.\d\d[.\s]*(\w*)$', 1)) NOT IN ('above', 'below', 'of', 'hereof', 'hereto') GROUP BY doc_id)
+SELECT d.doc_id, sha256(regexp_replace(string_split_regex(substr(t, 1, stop), '(?im)^\s*SIGNATURE\s*$')[1], '^\s+|\s+$', '', 'g')) AS section_sha256 FROM d JOIN e ON e.doc_id = d.doc_id""")
 def section_slice(spark, sf):
     d = S.table(spark, sf, "documents")
     t = F.concat(F.lit("Item 1.01 Entry.\n"), "text", F.lit("\nItem 8.01 Other.\nrest"))
-    return d.select("doc_id", F.sha2(B.over(B.slice_item, T.StringType(), t, F.lit("1.01")), 256).alias("section_sha256"))
+    return d.select("doc_id", F.sha2(B.slice_item(t, "1.01"), 256).alias("section_sha256"))
 
 
 @query()
@@ -642,9 +658,13 @@ def stemmed_search(spark, sf):
     return ranking.ranked_search(access.scope(S.kb(spark, sf), SCOPE), "thing er", 20)
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+u AS (SELECT doc_id, unnest(ps) AS s, generate_subscripts(ps, 1) AS i FROM p),
+b AS (SELECT *, i = 1 OR NOT (regexp_matches(lag(s) OVER (PARTITION BY doc_id ORDER BY i), '\b(?:Inc|LLC|L\.P|Corp|Co|Ltd|No|U\.S|Nasdaq)\.$') OR regexp_matches(s, '^[(“"''\p{Ll}]')) AS opens FROM u),
+g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM b)
+SELECT doc_id, (n - 1)::INT AS n, length(string_agg(s, ' ' ORDER BY i))::INT AS n_chars FROM g GROUP BY doc_id, n""")
 def sentence_split(spark, sf):
-    d = S.table(spark, sf, "documents").select("doc_id", F.posexplode(B.over(B.sentences, T.ArrayType(T.StringType()), F.col("text"))).alias("n", "sentence"))
+    d = S.table(spark, sf, "documents").select("doc_id", F.posexplode(B.sentences(F.col("text"))).alias("n", "sentence"))
     return d.select("doc_id", "n", F.length("sentence").alias("n_chars"))
 
 
@@ -656,14 +676,32 @@ def closing_boilerplate(spark, sf):
     o = S.table(spark, sf, "orders").join(S.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     t = F.concat(F.lit("On "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(", Acme Inc. (the “Borrower”) signed a Credit Agreement with "), "c_name", F.lit(". The Borrower pays."))
 
-    def finish(text: str, other: str) -> str:
-        return B.ensure_relationship(B.ensure_qualifier(B.registrant_term(text, "Acme Inc.")), f"Lender: {other}")
+    done = B.ensure_qualifier(B.registrant_term(t, F.lit("Acme Inc.")))
+    return o.select(F.col("o_orderkey").alias("doc"), done.alias("text"), "c_name").select("doc", B.ensure_relationship(F.col("text"), F.concat(F.lit("Lender: "), "c_name")).alias("text"))
 
-    return o.select(F.col("o_orderkey").alias("doc"), B.over(finish, T.StringType(), t, F.col("c_name")).alias("text"))
 
+_MSA = "'## contract ' || contract || chr(10) || chr(10) || '*MSA*' || chr(10) || chr(10) || lines || chr(10) || chr(10) || '### Key risks' || chr(10) || '- late' || chr(10)"
 
-@query()
+
+@query(f"""WITH {CLAUSES}, r AS (SELECT *, row_number() OVER (PARTITION BY contract, name ORDER BY (lower(trim(value)) IN ('', 'not found'))::INT, win, value) AS i FROM clauses),
+m AS (SELECT contract, chr(10) || string_agg('- **' || name || '**: ' || value, chr(10) ORDER BY name) AS lines FROM r WHERE i = 1 GROUP BY contract) SELECT contract, {_MSA} AS memo FROM m""")
 def memo_export(spark, sf):
     rows = review.merge_clauses(S.clauses(spark, sf)).groupBy("contract").agg(F.sort_array(F.collect_list(F.struct("name", "value", F.lit("").alias("quote"), F.lit(False).alias("verified")))).alias("clauses"))
-    rows = rows.withColumn("doc", F.concat(F.lit("contract "), F.col("contract").cast("string"))).withColumn("kind", F.lit("MSA")).withColumn("summary", F.lit("")).withColumn("risks", F.array(F.lit("late")))
-    return rows.select("contract", export.memo_column("doc", "kind", "summary", "clauses", "risks").alias("memo"))
+    name = F.concat(F.lit("contract "), F.col("contract").cast("string"))
+    return rows.select("contract", export.memo(name, F.lit("MSA"), F.lit(""), F.col("clauses"), F.array(F.lit("late"))).alias("memo"))
+
+
+@query("""SELECT o_orderkey AS doc, 'Foo ' || o_orderkey || ' LLC' AS counterparty, 'Purchase Agreement' AS term, 'A (the "Loan Agreement") of the Loan Agreement' AS renamed,
+  'In connection with the Deal, on May ' || (o_orderkey % 28 + 1) || ', 2026, the Company also entered into a pact with B (the "Pact").' AS second, CASE WHEN o_orderkey % 2 = 0 THEN '10.' || (o_orderkey % 9) END AS number FROM orders""")
+def boilerplate_terms(spark, sf):
+    """Counterparty, short term, renamed term, terms defined once, exhibit number from a file name."""
+    key = F.col("o_orderkey").cast("string")
+    parties = F.array(F.lit("Acme, Inc."), F.concat(F.lit("Seller: Foo "), key, F.lit(' LLC (the "Seller")')))
+    day = F.concat(F.lit("On May "), (F.col("o_orderkey") % 28 + 1).cast("string"), F.lit(', 2026, A (the "Company"), entered into '))
+    bodies = F.array(F.concat(day, F.lit('a deal with B (the "Buyers").')), F.concat(day, F.lit('a pact with B (the "Buyers") (the "Pact").')))
+    body = F.lit('A Agreement (the "Agreement") of the Agreement')
+    file = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("d_EX10-"), (F.col("o_orderkey") % 9).cast("string"), F.lit(".htm"))).otherwise("d.htm")
+    return S.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc"), B.pick_counterparty(parties, F.lit("ACME Inc")).alias("counterparty"), B.short_term(F.lit("Stock purchase agreement")).alias("term"),
+        F.replace(B.rename_term(body, F.lit("Loan Agreement")), F.lit("A Agreement "), F.lit("A ")).alias("renamed"), B.define_once(bodies, F.lit("Deal"))[1].alias("second"), B.exhibit_number(file).alias("number"),
+    )
