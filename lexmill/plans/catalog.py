@@ -383,7 +383,7 @@ def pairing(spark, sf):
 
 @query("SELECT o_orderkey AS doc, round(o_totalprice, 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey")
 def currency_facts(spark, sf):
-    found = extract(S.deals(spark, sf), "draft", ["doc"]).filter("kind = 'currency'")
+    found = extract(S.deals(spark, sf), "draft", ["doc"], kinds=("currency",))
     return found.select("doc", F.round(F.col("num").cast("double"), 2).alias("amount"))
 
 
@@ -391,23 +391,23 @@ def currency_facts(spark, sf):
 def percent_facts(spark, sf):
     line = S.table(spark, sf, "lineitem")
     t = line.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.concat(F.lit("a discount of "), F.round(F.col("l_discount") * 100, 0).cast("int").cast("string"), F.lit(" percent applies")).alias("t"))
-    return extract(t, "t", ["doc", "line"]).filter("kind = 'percent'").select("doc", "line", F.round(F.col("num").cast("double"), 4).alias("share"))
+    return extract(t, "t", ["doc", "line"], kinds=("percent",)).select("doc", "line", F.round(F.col("num").cast("double"), 4).alias("share"))
 
 
 @query("SELECT o_orderkey AS doc, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders JOIN customer ON o_custkey = c_custkey")
 def date_facts(spark, sf):
-    return extract(S.deals(spark, sf), "draft", ["doc"]).filter("kind = 'date'").select("doc", F.col("text").alias("iso"))
+    return extract(S.deals(spark, sf), "draft", ["doc"], kinds=("date",)).select("doc", F.col("text").alias("iso"))
 
 
 @query("SELECT o_orderkey AS doc, (o_orderkey % 900 + 100)::DOUBLE AS shares FROM orders JOIN customer ON o_custkey = c_custkey")
 def fact_counts(spark, sf):
-    found = extract(S.deals(spark, sf), "source", ["doc"]).filter("kind = 'count' AND raw LIKE '%shares'")
+    found = extract(S.deals(spark, sf), "source", ["doc"], kinds=("count",)).filter("raw LIKE '%shares'")
     return found.select("doc", F.col("num").cast("double").alias("shares"))
 
 
 @query("SELECT o_orderkey AS doc, lower(replace(c_name, '#', ' ')) AS party FROM orders JOIN customer ON o_custkey = c_custkey")
 def party_facts(spark, sf):
-    return extract(S.deals(spark, sf), "draft", ["doc"]).filter("kind = 'party'").select("doc", F.col("text").alias("party"))
+    return extract(S.deals(spark, sf), "draft", ["doc"], kinds=("party",)).select("doc", F.col("text").alias("party"))
 
 
 @query("SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 5 IN (2, 3) THEN 'blocked' ELSE 'clean' END AS verdict FROM orders JOIN customer ON o_custkey = c_custkey")

@@ -1,5 +1,6 @@
 """Acceptance cases of reconciliation, and hand-worked vectors of the text functions."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -50,10 +51,43 @@ def test_supplied_derivation(spark):
     assert items == {"8500000": "= $38,675,000 ÷ $4.55"}
 
 
-def test_strict_counts():
-    kinds = lambda t, **k: [(f[2], str(f[3])) for f in facts.facts(t, **k)]
-    assert kinds("$5,000,000 and 12,345") == [("currency", "5000000"), ("count", "12345")]
-    assert ("count", "0") in kinds("$5,000,000 and 12,345", strict=True)
+def test_strict_counts(spark):
+    def kinds(text, **how):
+        rows = facts.extract(spark.createDataFrame([(1, text)], "doc long, t string"), "t", ["doc"], **how).orderBy("ord").collect()
+        return [(r["kind"], str(r["num"].normalize().to_integral_value() if r["num"] else r["text"])) for r in rows]
+
+    assert [(k, Decimal(n)) for k, n in kinds("$5,000,000 and 12,345")] == [("currency", 5000000), ("count", 12345)]
+    assert ("count", "0") in [(k, "0" if n == "None" else n) for k, n in kinds("$5,000,000 and 12,345", strict=True)]
+
+
+def test_facts_of_one_text(spark):
+    """Positions, raw texts, values, steps and surroundings, by hand."""
+    text = "😀 Item 1.01 pays $1.5 million, 2 million shares and 1,234 units to Acme Inc. at 3.25% on May 3, 2026 (2026-05-04); ACME INC and Acme, Inc again"
+    rows = facts.extract(spark.createDataFrame([(1, text), (2, None)], "doc long, t string"), "t", ["doc"]).orderBy("ord").collect()
+    got = [(r["raw"], r["kind"], float(r["num"]) if r["num"] is not None else r["text"], float(r["step"])) for r in rows]
+    assert got == [
+        ("$1.5 million", "currency", 1.5e6, 1e5), ("2 million shares", "count", 2e6, 1e6), ("1,234 units", "count", 1234.0, 1.0), ("1,234", "count", 1234.0, 1.0), ("2 million", "count", 2e6, 1e6),
+        ("3.25%", "percent", 0.0325, 0.0001), ("May 3, 2026", "date", "2026-05-03", 0.0), ("2026-05-04", "date", "2026-05-04", 0.0), ("Acme Inc", "party", "acme", 0.0),
+    ]
+    assert all(text[r["pos"] :].startswith(r["raw"][:4]) for r in rows) and rows[0]["ctx"].startswith("😀 pays $1.5 million, 2 million shares")
+
+
+def test_derivations_among_many_figures(spark):
+    """Every figure that two others make is found, against all pairs, without meeting all pairs."""
+    r = random.Random(2)
+    known = [r.randrange(2, 3000) * 1000 for _ in range(25)]
+    made = [known[i] * known[i + 1] for i in range(3)] + [round(known[i] * 1000 / known[i + 5]) for i in range(3)] + [987_654_321_987]
+    source = " and ".join(f"${x:,}" for x in known)
+    draft = source + " so " + " and ".join(f"{x:,} shares" for x in made)
+    docs = spark.createDataFrame([(1, draft, source)], "doc long, draft string, source string")
+    got = {int(x["normalized"]): x["status"] for x in reconcile.reconcile_items(docs).filter("kind = 'count'").collect()}
+
+    def derived(d):
+        tol = abs(d) * 0.005 + 0.5
+        return any((abs(a) >= 1000 and abs(d * b - a) <= tol * abs(b)) or (abs(d) >= 1000 and abs(d - a * b) <= tol) for i, a in enumerate(known) for j, b in enumerate(known) if i != j)
+
+    shown = {x: "matched" if any(abs(x - k) <= 0.5 for k in known) else "derived" if derived(x) else "fabricated" for x in made}
+    assert {x: got[x] for x in made} == shown and {"derived", "fabricated"} <= set(shown.values())
 
 
 def test_lock(spark):
