@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import delex as D
-from ..functions.facts import MONTHS
-from ..functions.text import RUBRIC, band
+from ..functions.text import RUBRIC, band, squeeze
 
 # The classes of exhibits that an item's text can be paired with, in order of preference.
 SOURCE_CLASSES = {
@@ -96,24 +95,6 @@ def rouge_l(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def canon_number(surface: Column) -> Column:
-    """The value of a number as written, units counted in, without a decimal part where it is whole."""
-    unit = F.regexp_extract(F.lower(surface), "(thousand|million|billion)", 1)
-    factor = F.when(unit == "thousand", 1e3).when(unit == "million", 1e6).when(unit == "billion", 1e9).otherwise(1.0)
-    value = F.regexp_replace(F.regexp_replace(F.lower(surface), "(thousand|million|billion).*", ""), "[^0-9.]", "").try_cast("double") * factor
-    whole = value.cast("decimal(38,0)").cast("string")
-    part = F.regexp_replace(F.format_string("%.6f", value), r"0+$", "")
-    return F.when(value.isNull(), F.regexp_replace(F.lower(surface), r"[,\s]", "")).when(value == F.floor(value), whole).otherwise(part)
-
-
-def canon_date(surface: Column) -> Column:
-    low = F.lower(surface)
-    pattern = rf"({'|'.join(MONTHS)})\s+(\d{{1,2}}),?\s+(\d{{4}})"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, pattern, 1))
-    long = F.format_string("%s-%02d-%02d", F.regexp_extract(low, pattern, 3), month, F.regexp_extract(low, pattern, 2).try_cast("int"))
-    return F.when(low.rlike(pattern), long).when(low.rlike(r"\d{4}-\d{2}-\d{2}"), F.regexp_extract(low, r"\d{4}-\d{2}-\d{2}", 0)).otherwise(low)
-
-
 def number_placeholders(spans: DataFrame) -> DataFrame:
     """doc, typ, can, n: values numbered by type in the order in which they are met from the end of the text."""
     last = spans.groupBy("doc", "typ", "can").agg(F.max("start").alias("last"))
@@ -132,13 +113,6 @@ def select_spans(spans: DataFrame) -> DataFrame:
     return rows.select("doc", F.inline(F.aggregate("all", start, step, lambda x: x["kept"])))
 
 
-def backfill(skeleton: Column, surfaces: Column) -> Column:
-    """Struct of text, placeholders replaced by their surfaces or the marker, and the sorted missing placeholders."""
-    asked = F.array_distinct(F.regexp_extract_all(skeleton, F.lit(D.PLACEHOLDER.pattern), F.lit(0)))
-    text = F.aggregate(asked, skeleton, lambda t, p: F.replace(t, p, F.coalesce(surfaces[p], F.lit(D.MARKER))))
-    return F.struct(text.alias("text"), F.array_sort(F.filter(asked, lambda p: surfaces[p].isNull())).alias("missing"))
-
-
 def groundable(pairs: DataFrame, inputs: DataFrame, outputs: DataFrame, least: float = 0.9) -> DataFrame:
     """pair, share, kept: the share of output values (pair, typ, can) that the input has, 1 where there are none."""
     have = inputs.select("pair", "typ", "can").distinct().withColumn("hit", F.lit(1.0))
@@ -149,14 +123,14 @@ def groundable(pairs: DataFrame, inputs: DataFrame, outputs: DataFrame, least: f
 
 def delex_round_trip(docs: DataFrame) -> DataFrame:
     """doc, n_placeholders, same: texts delexicalised, filled in again and compared, white space apart."""
+    found = docs.select("doc", "source", D.spans(F.col("source")).alias("spans"))
+    made = found.select("doc", "source", D.delex(F.col("source"), F.col("spans")).alias("made"))
+    back = made.select("doc", "source", F.col("made.skeleton").alias("skeleton"), D.backfill(F.col("made.skeleton"), F.col("made.surfaces")).alias("back"))
+    same = (squeeze(F.col("back.text")) == squeeze(F.col("source"))) & (F.size("back.missing") == 0)
+    return back.select("doc", F.regexp_count("skeleton", F.lit(D.PLACEHOLDER)).alias("n_placeholders"), same.alias("same"))
 
-    @F.pandas_udf("n int, same boolean")
-    def run(text: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in text:
-            skeleton, surfaces = D.delex(t or "")
-            back, missing = D.backfill(skeleton, surfaces)
-            out.append((len(D.PLACEHOLDER.findall(skeleton)), back.split() == (t or "").split() and not missing))
-        return pd.DataFrame(out, columns=["n", "same"])
 
-    return docs.select("doc", run("source").alias("r")).select("doc", F.col("r.n").alias("n_placeholders"), F.col("r.same").alias("same"))
+def groundable_texts(docs: DataFrame, least: float = 0.9) -> DataFrame:
+    """doc, share, kept: the share of the spans of a draft that its source has."""
+    found = docs.select("doc", D.spans(F.col("source")).alias("s"), D.spans(F.col("draft")).alias("d"))
+    return found.select("doc", D.groundable_share(F.col("s"), F.col("d")).alias("share")).withColumn("kept", F.col("share") >= least)

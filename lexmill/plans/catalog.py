@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boilerplate as B
+from ..functions import delex as D
 from ..functions import ranking
 from ..functions import text as X
 from ..functions.facts import extract
@@ -446,7 +447,7 @@ def preserves_facts(spark, sf):
 def canon_values(spark, sf):
     o = S.table(spark, sf, "orders")
     surface = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("$"), F.format_number(F.col("o_orderkey") * 1000, 0))).otherwise(F.concat(F.lit("$"), F.col("o_orderkey").cast("string"), F.lit(" million")))
-    return o.select(F.col("o_orderkey").alias("doc"), corpus.canon_number(surface).alias("canon"), corpus.canon_date(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("day"))
+    return o.select(F.col("o_orderkey").alias("doc"), D.canon_number(surface).alias("canon"), D.canon_date(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("day"))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber * 10 AS start, l_returnflag AS typ, l_linestatus || (l_partkey % 3) AS can FROM lineitem),
@@ -473,7 +474,7 @@ def span_selection(spark, sf):
 def backfill(spark, sf):
     o = S.table(spark, sf, "orders")
     surfaces = F.create_map(F.lit("[AMOUNT_1]"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
-    filled = corpus.backfill(F.lit("paid [AMOUNT_1] and [AMOUNT_99]"), surfaces)
+    filled = D.backfill(F.lit("paid [AMOUNT_1] and [AMOUNT_99]"), surfaces)
     return o.select(F.col("o_orderkey").alias("doc"), filled["text"].alias("text"), F.array_join(filled["missing"], ",").alias("missing"))
 
 
@@ -486,11 +487,17 @@ def groundable(spark, sf):
     return corpus.groundable(pairs, line.filter("l_linenumber <= 2"), line.filter("l_linenumber > 2"))
 
 
-@query()
+@query("SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 5 = 3 THEN 2 ELSE 3 END AS n_placeholders, true AS same FROM orders JOIN customer ON o_custkey = c_custkey")
 def delex_round_trip(spark, sf):
     return corpus.delex_round_trip(S.deals(spark, sf).select("doc", "source"))
 
 
+@query("""WITH d AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 5 IN (0, 4) OR (o_orderkey % 5 = 1 AND abs(round(o_totalprice / 1e6, 4) * 1e6 - o_totalprice) < 0.005) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE / 3 END AS share FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT doc, round(share, 9) AS share, share >= 0.9 AS kept FROM d""")
+def groundable_texts(spark, sf):
+    return corpus.groundable_texts(S.deals(spark, sf).select("doc", "draft", "source")).withColumn("share", F.round("share", 9))
+
+
 # --- reviews and filings ---
 
 

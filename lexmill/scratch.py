@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written under spark.checkpoint.dir (a local folder where the session names none) and read back."""
+    """df, written under spark.checkpoint.dir (a local folder where a local session names none) and read back."""
     spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", place)
     path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -131,13 +131,20 @@ def test_filing_functions(spark):
     assert {r["pos"]: r["number"] for r in filing.number_exhibits(docs).collect()} == {1: "10.2", 2: "10.1", 3: "10.3", 4: "99.1"}
 
 
-def test_delex():
+def test_delex(spark):
     text = "On August 20, 2024, SoundHound AI Inc. paid $38.7 million ($38,700,000) to Frost Bank. SoundHound AI agreed."
-    skeleton, surfaces = delex.delex(text)
-    assert "[DATE_1]" in skeleton and skeleton.count("[AMOUNT_1]") == 2 and skeleton.count("[ORG_") == 3
-    assert delex.backfill("The Company sold [AMOUNT_1] and also [AMOUNT_99].", {"[AMOUNT_1]": "$5,000,000"}) == (f"The Company sold $5,000,000 and also {delex.MARKER}.", ["[AMOUNT_99]"])
-    assert delex.groundable_share("paid $5 million", "paid $5,000,000 on 2024-01-01") == 0.5 and delex.groundable_share("", "nothing") == 1.0
-    assert delex.canon_date("3/4/24") == "2024-03-04"
+    row = spark.range(1).select(F.lit(text).alias("t")).select("t", delex.spans(F.col("t")).alias("s")).select(delex.delex(F.col("t"), F.col("s")).alias("d"), "s").first()
+    skeleton, surfaces = row["d"]["skeleton"], row["d"]["surfaces"]
+    assert skeleton == "On [DATE_1], [ORG_2] paid [AMOUNT_1] ([AMOUNT_1]) to [ORG_1] [ORG_2] agreed."
+    assert surfaces == {"[DATE_1]": "August 20, 2024", "[ORG_2]": "SoundHound AI Inc.", "[AMOUNT_1]": "$38,700,000", "[ORG_1]": "Frost Bank."}
+    assert all(text[s["a"] : s["b"]] == s["surface"] for s in row["s"])
+    filled = one(spark, delex.backfill(F.col("t"), F.create_map(F.lit("[AMOUNT_1]"), F.lit("$5,000,000"))), t="The Company sold [AMOUNT_1] and also [AMOUNT_99].")
+    assert tuple(filled) == (f"The Company sold $5,000,000 and also {delex.MARKER}.", ["[AMOUNT_99]"])
+    share = delex.groundable_share(delex.spans(F.col("a")), delex.spans(F.col("b")))
+    assert one(spark, share, a="paid $5 million", b="paid $5,000,000 on 2024-01-01") == 0.5 and one(spark, share, a="", b="nothing") == 1.0
+    assert [one(spark, delex.canon_date(F.col("d")), d=d) for d in ("3/4/24", "May 3 2026", "2024-01-02", "X")] == ["2024-03-04", "2026-05-03", "2024-01-02", "x"]
+    person = F.array(F.struct(F.lit(0).alias("a"), F.lit(8).alias("b")))
+    assert [(s["kind"], s["canon"]) for s in one(spark, delex.spans(F.col("t"), person), t="Jane Roe paid 5 percent")] == [("PERSON", "jane roe"), ("PCT", "5")]
 
 
 def test_access_and_state(spark, tmp_path):
