@@ -46,9 +46,9 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 29) -> DataFrame:
     homed = cut(homed.withColumn("home", F.coalesce("home", "source")).withColumn("hs", F.xxhash64(F.lit(seed), "home")), "shard_homed")
     groups = homed.groupBy("home", "hs", "h1").agg(F.count(F.lit(1)).alias("n"))
     groups = cut(running(groups, [F.col("home").asc_nulls_first(), F.col("h1")], {"before": "n"}), "shard_groups")
-    per_home = groups.groupBy(F.col("hs").alias("s")).agg(F.sum("n").alias("rows"), F.min("before").alias("start"))
+    per_home = cut(groups.groupBy("hs").agg(F.sum("n").alias("rows"), F.min("before").alias("start"), F.count(F.lit(1)).alias("many")), "shard_homes")
     at = (F.col("before") - F.col("start") + 0.5) / F.col("rows")
-    groups = cut(groups.join(per_home, F.col("hs") == F.col("s")).select("hs", "h1", "n", at.alias("at")), "shard_ranks")
+    groups = cut(join_unique(groups, per_home, ["hs"], "many", groups.count(), F.col("h1")).select("hs", "h1", "n", at.alias("at")), "shard_ranks")
     placed = join_unique(homed, groups, ["hs", "h1"], "n", total, F.struct("doc_id", "tie"))
     mixed = ranked(placed, [F.col(c) for c in ("at", "hs", "h1", "h2", "doc_id", "tie")], "place")
     turn = more * (least + 1)
