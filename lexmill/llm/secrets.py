@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_place, documents, scratch, text_or_empty
+from .common import by_place, cut, documents, scratch, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,8 @@ RULES = BASE + MORE
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rule", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())])
 PLACE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("spans", T.ArrayType(PLACE))])
+#: Hashes that are broadcast, at most (about 100 bytes each).
+FEW = 100_000
 #: Matches whose positions are summed up together.
 BLOCK = 64
 
@@ -112,12 +114,17 @@ class BlobLedger:
     def add(self, docs: DataFrame, rules: tuple[Rule, ...]) -> None:
         """Scans the blobs of docs (blob, text) by those rules under which the ledger hasn't got them yet.
 
-        The ledger is asked with the hashes alone. Texts are then joined with the hashes that lack a rule: if these are few they are
-        broadcast and no text is shuffled. Each blob is scanned once.
+        The ledger is asked with the hashes alone. If those that lack a rule are FEW at most they are broadcast, and no other text is
+        shuffled; else every blob's text is, once a task. Each blob is scanned once.
         """
         known = self.done(rules)
         lacking = docs.select("blob").distinct().join(known, "blob", "left").filter(F.col("done").isNull() | (F.size("done") < len(rules)))
-        texts = docs.join(lacking.select(F.col("blob").alias("b"), "done"), F.col("blob") == F.col("b")).groupBy("blob").agg(F.first("text").alias("text"), F.first("done").alias("done"))
+        lacking = cut(lacking, "lacking").select(F.col("blob").alias("b"), "done")
+        one = lambda rows, *more: rows.groupBy("blob").agg(F.first("text").alias("text"), *more)
+        if lacking.limit(FEW + 1).count() <= FEW:
+            texts = one(docs.join(F.broadcast(lacking), F.col("blob") == F.col("b")), F.first("done").alias("done"))
+        else:  # copies of a blob meet as one row a task, so that a hot one does no harm
+            texts = one(docs).join(lacking, F.col("blob") == F.col("b"))
         asked = []
         for rule in rules:
             new = F.col("done").isNull() | ~F.array_contains("done", f"{rule.kind}:{rule.version}")
