@@ -141,6 +141,11 @@ def citation(filename: Column, page: Column, doc_type: Column) -> Column:
     return F.concat(filename, F.when(page > 0, F.concat(F.lit(" p."), page.cast("string"))).otherwise(""), F.when(F.coalesce(doc_type, F.lit("")) != "", F.concat(F.lit(" ["), doc_type, F.lit("]"))).otherwise(""))
 
 
+def page_count(page: Column) -> Column:
+    """An aggregate: the last page, null where no block has one."""
+    return F.nullif(F.max(F.coalesce(page, F.lit(0))), F.lit(0))
+
+
 def replace_nth(text: Column, needle: str, new: Column, n: Column) -> Column:
     """text with its n-th (from 0) occurrence of needle replaced; unchanged where there are fewer."""
     parts = F.split(text, "\\Q" + needle + "\\E", -1)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import delex as D
 from ..functions.text import RUBRIC, band, squeeze
+from .state import numbered
 
 # The classes of exhibits that an item's text can be paired with, in order of preference.
 SOURCE_CLASSES = {
@@ -41,10 +42,9 @@ def pair_items(filings: DataFrame, exhibits: DataFrame, key: str) -> DataFrame:
 
 def split_by_group(pairs: DataFrame, group: str, share: float, seed: int) -> DataFrame:
     """group, split: groups in the order of a hash; the first share of them, one at least, are for validation."""
-    groups = pairs.select(group).distinct()
-    n = groups.count()
-    held = groups.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")))).orderBy("h", group).limit(max(1, int(n * share))).select(group, F.lit("val").alias("split"))
-    return groups.join(held, group, "left").select(group, F.coalesce("split", F.lit("train")).alias("split"))
+    placed = numbered(pairs.select(group).distinct().withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")))), ["h", group])
+    held = max(1, int(placed.count() * share))
+    return placed.select(group, F.when(F.col("n") <= held, "val").otherwise("train").alias("split"))
 
 
 def rubric(rows: DataFrame, text: str, by: str, top: int = 6) -> DataFrame:
@@ -121,6 +121,17 @@ def groundable(pairs: DataFrame, inputs: DataFrame, outputs: DataFrame, least: f
     return rows.withColumn("kept", F.col("share") >= least)
 
 
+def yields(rows: DataFrame) -> DataFrame:
+    """family, item, kept, total, percent, mean_kept of rows (family, item, share, kept): by item, by family and, with both null, all."""
+    rows = rows.rollup("family", "item").agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("total"), F.avg(F.when(F.col("kept"), F.col("share"))).alias("mean_kept"))
+    return rows.withColumn("percent", F.expr("100 * kept div total"))
+
+
+def metric_means(rows: DataFrame, by: str, metrics: list[str]) -> DataFrame:
+    """by, n and the mean of each metric; nulls count for nothing."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(m).alias(m) for m in metrics))
+
+
 def delex_round_trip(docs: DataFrame) -> DataFrame:
     """doc, n_placeholders, same: texts delexicalised, filled in again and compared, white space apart."""
     found = docs.select("doc", "source", D.spans(F.col("source")).alias("spans"))

@@ -22,6 +22,8 @@ ITEM_TITLES = {
 
 #: Marks of redaction that must not be left.
 LEAK = r"\[REDACTED\]|[▀-▟■-◿]{2,}|\*{3,}"
+# Exhibit classes that can be a source, and the forms of current reports.
+LISTED, FORMS = ["1", "2", "3", "4", "10", "99"], ["8-K", "8-K/A"]
 COMPANIONS = {"3.02": ["1.01", "2.03", "2.01"], "2.01": ["1.01"], "2.03": ["1.01"]}
 
 
@@ -61,6 +63,26 @@ def route(assigned: DataFrame, families: DataFrame, sources: DataFrame) -> DataF
     return rows.select("filing", "item", F.coalesce("doc", "kin", "first").alias("doc"))
 
 
+def unrouted(sources: DataFrame, routed: DataFrame) -> DataFrame:
+    """sources (filing, doc, ...) that no item draws on: an exhibit index lists them, nothing is drafted from them."""
+    return sources.join(routed.select("filing", "doc").distinct(), ["filing", "doc"], "left_anti")
+
+
+def exhibit_links(index_html: Column, base: str) -> Column:
+    """Array of (cls, url) in the rows of a filing's index page: exhibits of the kept classes, each address once."""
+    row = lambda r: F.struct(F.regexp_extract(r, r"(?i)EX-(\d+)(?:\.(\d+))?", 1).alias("major"), F.regexp_extract(r, 'href="([^"]+)"', 1).alias("u"))
+    able = F.filter(F.transform(F.split(index_html, "(?i)<tr"), row), lambda x: x["major"].isin(*LISTED) & (x["u"] != ""))
+    full = F.transform(able, lambda x: F.struct(F.concat(F.lit("EX-"), x["major"]).alias("cls"), F.when(F.startswith(x["u"], F.lit("http")), x["u"]).otherwise(F.concat(F.lit(base), x["u"])).alias("url")))
+    # The first row of each address: a filter alone would work out its array for every row anew.
+    return F.aggregate(full, F.array().cast("array<struct<cls:string,url:string>>"), lambda got, x: F.when(F.exists(got, lambda g: g["url"] == x["url"]), got).otherwise(F.array_append(got, x)))
+
+
+def recent_forms(filings: DataFrame, by: str, order: list[Column], most: int = 50) -> DataFrame:
+    """The first filings, by the order, of each registrant that are current reports or amendments of such."""
+    first = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return filings.filter(F.col("form").isin(*FORMS)).withColumn("nth", first).filter(F.col("nth") <= most)
+
+
 def number_exhibits(docs: DataFrame) -> DataFrame:
     """docs (filing, pos, prefix, asked) with number: the asked one, or the next free prefix.n in order of pos."""
     asked = docs.filter("asked IS NOT NULL").select("filing", F.col("asked").alias("number")).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import normalize_key
+from ..scratch import written
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,6 +41,18 @@ def rename_value(table: DataFrame, column: str, old: str, new: str) -> tuple[Dat
     return table.withColumn(column, F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column))), F.count_if(F.col(column) == old)
 
 
+def update_column(table: DataFrame, rows: DataFrame, key: str, column: str) -> DataFrame:
+    """table with column replaced, in rows of the keys that rows (key, column; one a key) has; a null there counts, too."""
+    new = rows.select(key, F.col(column).alias("__new"), F.lit(True).alias("__hit"))
+    value = F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(column))
+    return table.join(new, key, "left").withColumn(column, value).select(*table.columns)
+
+
+def history(made: DataFrame, zone: str) -> DataFrame:
+    """made with created_at as that zone's clock shows it, the newest first."""
+    return made.orderBy(F.desc("created_at"), "id").withColumn("created_at", F.date_format(F.from_utc_timestamp("created_at", zone), "yyyy-MM-dd HH:mm"))
+
+
 def alias_rows(pairs: DataFrame) -> DataFrame:
     """alias_key, canonical of (alias, canonical) pairs; a canonical name resolves to itself, too."""
     both = pairs.select("alias", "canonical").union(pairs.select("canonical", "canonical"))
@@ -55,7 +68,7 @@ def resolve_names(df: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with n = 1, 2, ... in order: places inside sorted ranges, plus the counts of the ranges before (one row a range)."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).persist()
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("at", 33)
     counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("many")).orderBy("part").collect()
     starts, before = {}, 0

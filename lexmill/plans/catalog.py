@@ -12,7 +12,7 @@ from ..functions import delex as D
 from ..functions import ranking
 from ..functions import text as X
 from ..functions.facts import extract
-from ..operators import access, corpus, export, filing, reconcile, review, search, state
+from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state
 from ..sources import tables as S
 from ..sources.tables import CLAUSES, GRANTS, KB, PAIRS
 
@@ -712,3 +712,173 @@ def boilerplate_terms(spark, sf):
         F.col("o_orderkey").alias("doc"), B.pick_counterparty(parties, F.lit("ACME Inc")).alias("counterparty"), B.short_term(F.lit("Stock purchase agreement")).alias("term"),
         F.replace(B.rename_term(body, F.lit("Loan Agreement")), F.lit("A Agreement "), F.lit("A ")).alias("renamed"), B.define_once(bodies, F.lit("Deal"))[1].alias("second"), B.exhibit_number(file).alias("number"),
     )
+
+
+# --- drafts under review, yields, registrants, model-backed steps ---
+
+_SIGNALS = "l_orderkey AS filing, l_returnflag AS item, l_linenumber AS pos, l_suppkey % 4 = 0 AS blocked, 'd' || l_partkey AS disclosure, 'g' || l_linenumber AS g, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE 's' || l_partkey END AS s"
+
+
+@query(f"""WITH d AS (SELECT {_SIGNALS} FROM lineitem)
+SELECT filing, item, arg_min(disclosure, row(pos, disclosure)) AS disclosure, CASE WHEN bool_or(blocked) THEN 'blocked' ELSE 'clean' END AS verdict, string_agg(g || ',' || disclosure, ',' ORDER BY pos, disclosure) AS items, coalesce(string_agg(s, chr(10) || chr(10) ORDER BY pos, disclosure) FILTER (WHERE s <> ''), '') AS source_text FROM d GROUP BY ALL""")
+def signal_merge(spark, sf):
+    line, none = S.table(spark, sf, "lineitem"), F.lit(None).cast("array<string>")
+    key, at = F.concat(F.lit("d"), F.col("l_partkey").cast("string")), F.concat(F.lit("g"), F.col("l_linenumber").cast("string"))
+    made = line.select(
+        F.col("l_orderkey").alias("filing"), F.col("l_returnflag").alias("item"), F.col("l_linenumber").alias("pos"), key.alias("disclosure"), F.when(F.col("l_suppkey") % 4 == 0, "blocked").otherwise("clean").alias("verdict"), F.array(at, key).alias("items"),
+        *(none.alias(c) for c in ("flags", "blanked", "facts", "derived")), F.lit("").alias("grounded"), F.when(F.col("l_linenumber") % 2 != 0, F.concat(F.lit("s"), F.col("l_partkey").cast("string"))).alias("source_text"),
+    )
+    return drafts.merge_signals(made).select("filing", "item", "disclosure", "verdict", F.array_join("items", ",").alias("items"), "source_text")
+
+
+_DRAFT = "'On ' || strftime(o_orderdate, '%B %-d, %Y') || ', ' || replace(c_name, '#', '-') || ' Inc. agreed to pay ' || format('${:,.2f}', o_totalprice) || ' for ' || (o_orderkey % 900 + 100) || ' shares.'"
+_BREAK = "chr(10) || chr(10)"
+
+
+@query(f"""WITH d AS (SELECT o_orderkey AS doc, {_DRAFT} AS t FROM orders JOIN customer ON o_custkey = c_custkey),
+n AS (SELECT doc, CASE WHEN doc % 4 = 0 THEN t WHEN doc % 2 = 0 THEN t || ' It grows.' ELSE t || ' Growth is meant.' END AS t FROM d)
+SELECT doc, t || {_BREAK} || 'Closing.' AS disclosure, t || {_BREAK} || 'Closing.' AS own_section, 'See Item 1.01.' AS other_section, CASE WHEN doc % 4 = 0 THEN 0 ELSE 1 END AS n_facts FROM n""")
+def business_context(spark, sf):
+    opening, key = F.col("draft"), F.col("doc")
+    text = F.concat(opening, F.lit("\n\nClosing."))
+    section = lambda item, t, ref: F.struct(F.lit(item).alias("item"), t.alias("disclosure"), F.lit(ref).alias("cross_ref"))
+    draft = F.struct(F.lit("1.01").alias("item"), text.alias("disclosure"), F.array(section("1.01", text, False), section("2.03", F.lit("See Item 1.01."), True)).alias("sections"), F.array().cast("array<struct<fact:string,source_quote:string,origin:string>>").alias("facts"))
+    revised = F.when(key % 2 == 0, F.concat(opening, F.lit(" It grows."))).otherwise("The company grows.")
+    done = drafts.add_context(draft, F.when(key % 4 != 0, "growth"), revised, F.lit(" Growth is meant."))
+    return S.deals(spark, sf).select("doc", done.alias("d")).select("doc", F.col("d.disclosure").alias("disclosure"), F.col("d.sections")[0]["disclosure"].alias("own_section"), F.col("d.sections")[1]["disclosure"].alias("other_section"), F.size("d.facts").alias("n_facts"))
+
+
+@query("""SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 5 IN (2, 3) AND o_orderkey % 2 = 1 THEN 'blocked' ELSE 'clean' END AS verdict, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS to_fill,
+  'true,false,none' AS verified, false AS stated FROM orders JOIN customer ON o_custkey = c_custkey""")
+def reverified(spark, sf):
+    """Drafts after an edit: every other one has its amount blanked; four facts, one of them a standing statement, one a reviewer's."""
+    fact = lambda f, q, origin=None: F.struct(F.lit(f).alias("fact"), q.alias("source_quote"), F.lit(origin).cast("string").alias("origin"))
+    deals = S.deals(spark, sf)
+    edited = F.when(F.col("doc") % 2 == 0, F.regexp_replace("draft", r"\$[\d,.]*\d", reconcile.PLACEHOLDER)).otherwise(F.col("draft"))
+    facts = F.array(fact("dated", F.substring("source", 1, 30)), fact("made up", F.lit("not in any source")), fact("it does not purport to be complete", F.lit("x")), fact("growth", F.lit("said"), drafts.CONTEXT))
+    rows = drafts.reverify(deals.select("doc", F.lit("1.01").alias("item"), edited.alias("draft"), "source", facts.alias("facts")))
+    verified = F.array_join(F.transform("trace", lambda f: F.coalesce(f["verified"].cast("string"), F.lit("none"))), ",")
+    return rows.select("doc", "verdict", "to_fill", verified.alias("verified"), F.map_from_entries("flags")["(c) material-relationship statement"].alias("stated"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS doc, (o_orderkey % 90 + 11) * 100 AS per, o_orderkey % 900 + 101 AS n FROM orders)
+SELECT doc, format('${:,}', per * n) AS raw, 'derived' AS status, '= ' || format('${:,}', per) || ' × ' || n || ' shares' AS shown FROM o""")
+def derived_facts(spark, sf):
+    """Totals that only the source's price and number of shares make."""
+    o = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), ((F.col("o_orderkey") % 90 + 11) * 100).alias("per"), (F.col("o_orderkey") % 900 + 101).alias("n"))
+    money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
+    share = F.concat(money(F.col("per")), F.lit(" for each of "), F.col("n").cast("string"), F.lit(" shares"))
+    docs = o.select("doc", F.concat(F.lit("It pays "), share, F.lit(", or "), money(F.col("per") * F.col("n")), F.lit(" in all.")).alias("draft"), F.concat(F.lit("The price is "), share, F.lit(".")).alias("source"))
+    return reconcile.reconcile_items(docs).filter("status <> 'matched'").select("doc", "raw", "status", F.col("source_snippet").alias("shown"))
+
+
+@query(f"""WITH g AS ({SQL["groundable"]}), r AS (SELECT CASE WHEN pair % 5 < 3 THEN 'contract' ELSE 'news' END AS family, (['1.01', '2.03', '3.02', '7.01', '8.01'])[(pair % 5 + 1)::INT] AS item, share, kept FROM g)
+SELECT coalesce(family, 'all') AS family, coalesce(item, 'all') AS item, count(*) FILTER (WHERE kept) AS kept, count(*) AS total, count(*) FILTER (WHERE kept) * 100 // count(*) AS percent, round(avg(share) FILTER (WHERE kept), 9) AS mean_kept FROM r GROUP BY ROLLUP (family, item)""")
+def yield_by_item(spark, sf):
+    names = F.array(*map(F.lit, ["1.01", "2.03", "3.02", "7.01", "8.01"]))
+    rows = groundable(spark, sf).select(F.when(F.col("pair") % 5 < 3, "contract").otherwise("news").alias("family"), F.element_at(names, (F.col("pair") % 5 + 1).cast("int")).alias("item"), "share", "kept")
+    return corpus.yields(rows).fillna("all", ["family", "item"]).withColumn("mean_kept", F.round("mean_kept", 9))
+
+
+_RECALL = "CASE WHEN len(r) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(r, {0}))::DOUBLE / len(r) END"
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT length(output) AS m, length(input) AS k, {_NUMS.format("output")} AS r, {_NUMS.format("input")} AS h FROM pairs),
+s AS (SELECT 'base' AS system, {_RECALL.format("h")} AS recall, k::DOUBLE AS chars FROM n UNION ALL SELECT 'tuned', 1.0, m::DOUBLE FROM n)
+SELECT system, count(*) AS n, round(avg(recall), 9) AS recall, round(avg(chars), 6) AS chars FROM s GROUP BY ALL""")
+def metric_means(spark, sf):
+    """Two systems against the same references: one that repeats its input, one that gives the reference."""
+    pairs = S.pairs(spark, sf)
+    scored = [pairs.select(F.lit(name).alias("system"), corpus.number_recall(F.col("output"), F.col(said)).alias("recall"), F.length(said).cast("double").alias("chars")) for name, said in (("base", "input"), ("tuned", "output"))]
+    means = corpus.metric_means(scored[0].unionByName(scored[1]), "system", ["recall", "chars"])
+    return means.withColumns({"recall": F.round("recall", 9), "chars": F.round("chars", 6)})
+
+
+@query("SELECT l_orderkey AS doc, nullif(max(CASE WHEN l_orderkey % 3 <> 0 AND l_linenumber % 2 = 1 THEN l_linenumber ELSE 0 END), 0)::DOUBLE AS pages FROM lineitem GROUP BY 1")
+def page_counts(spark, sf):
+    page = F.when((F.col("l_orderkey") % 3 != 0) & (F.col("l_linenumber") % 2 == 1), F.col("l_linenumber").cast("int"))
+    return S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), page.alias("page")).groupBy("doc").agg(X.page_count(F.col("page")).cast("double").alias("pages"))
+
+
+@query(f"SELECT l_orderkey AS filing, 'd' || l_linenumber AS doc, {_EX} AS number FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem u WHERE u.l_orderkey = l.l_orderkey AND u.l_linenumber = l.l_linenumber AND u.l_partkey % 2 = 0)")
+def index_only_exhibits(spark, sf):
+    doc = F.concat(F.lit("d"), F.col("pos").cast("string")).alias("doc")
+    used = S.table(spark, sf, "lineitem").filter("l_partkey % 2 = 0").select(F.col("l_orderkey").alias("filing"), F.col("l_linenumber").alias("pos")).select("filing", doc)
+    return filing.unrouted(_exhibits(spark, sf).select("filing", doc, "number"), used)
+
+
+_INDEX = "'<table><TR><td>ex-10.' || (page_id % 9) || '<a href=\"/a/' || page_id || '\">x</a><tr>EX-101 <a href=\"/x\"><tr>EX-2.1 none<tr>EX-99 <a href=\"http://h/' || (page_id % 7) || '\"><tr>EX-4 <a href=\"/a/' || page_id || '\"><tr>EX-1<a href=\"/' || (page_id % 2) || '\"></table>' || html"
+
+
+@query(f"""WITH r AS (SELECT page_id, unnest(string_split_regex({_INDEX}, '(?i)<tr')) AS row_text, generate_subscripts(string_split_regex({_INDEX}, '(?i)<tr'), 1) AS i FROM pages),
+x AS (SELECT page_id, i, regexp_extract(row_text, '(?i)EX-(\\d+)(?:\\.(\\d+))?', 1) AS major, regexp_extract(row_text, 'href="([^"]+)"', 1) AS u FROM r),
+k AS (SELECT page_id, i, 'EX-' || major AS cls, CASE WHEN starts_with(u, 'http') THEN u ELSE 'https://example.org' || u END AS url FROM x WHERE major IN ('1', '2', '3', '4', '10', '99') AND u <> '')
+SELECT page_id, arg_min(cls, i) AS cls, url FROM k GROUP BY page_id, url""")
+def exhibit_links(spark, sf):
+    p, key = S.table(spark, sf, "pages"), F.col("page_id")
+    part = lambda c: c.cast("string")
+    index = F.concat(
+        F.lit("<table><TR><td>ex-10."), part(key % 9), F.lit('<a href="/a/'), part(key), F.lit('">x</a><tr>EX-101 <a href="/x"><tr>EX-2.1 none<tr>EX-99 <a href="http://h/'), part(key % 7),
+        F.lit('"><tr>EX-4 <a href="/a/'), part(key), F.lit('"><tr>EX-1<a href="/'), part(key % 2), F.lit('"></table>'), "html",
+    )
+    return p.select("page_id", F.inline(filing.exhibit_links(index, "https://example.org")))
+
+
+_FORM = "CASE l_returnflag WHEN 'A' THEN '8-K' WHEN 'R' THEN '8-K/A' ELSE '10-Q' END"
+
+
+@query(f"""WITH f AS (SELECT l_suppkey AS company, l_orderkey AS id, l_linenumber AS line, l_shipdate AS filed, {_FORM} AS form FROM lineitem),
+r AS (SELECT company, id, line, form, row_number() OVER (PARTITION BY company ORDER BY filed DESC, id, line) AS nth FROM f WHERE form IN ('8-K', '8-K/A')) SELECT company, id, line, form, nth FROM r WHERE nth <= 50""")
+def recent_forms(spark, sf):
+    form = F.when(F.col("l_returnflag") == "A", "8-K").when(F.col("l_returnflag") == "R", "8-K/A").otherwise("10-Q")
+    filed = S.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("company"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("filed"), form.alias("form"))
+    rows = filing.recent_forms(filed, "company", [F.desc("filed"), F.col("id"), F.col("line")])
+    return rows.select("company", "id", "line", "form", F.col("nth").cast("long").alias("nth"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN '{\"text\":\"revised ' || o_custkey || '\"}' ELSE '{\"text\":\"' || o_orderstatus || '\"}' END AS result FROM orders")
+def update_result(spark, sf):
+    o = S.table(spark, sf, "orders")
+    result = lambda c: F.to_json(F.struct(c.alias("text"))).alias("result")
+    new = o.filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), result(F.concat(F.lit("revised "), F.col("o_custkey").cast("string"))))
+    return state.update_column(o.select(F.col("o_orderkey").alias("id"), result(F.col("o_orderstatus"))), new, "id", "result")
+
+
+@query("SELECT event_id AS id, event_type AS kind, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS created_at FROM events")
+def generation_history(spark, sf):
+    made = S.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("ts").alias("created_at"))
+    return state.history(made, "Asia/Tokyo")
+
+
+@query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Example Registrant, Inc.' END AS name, 'Delaware' AS state, '000-00000' AS file_number, CASE WHEN n_nationkey % 3 = 0 THEN 'Street ' || n_regionkey ELSE '1 Main Street' END AS address,
+  '(000) 000-0000' AS phone, 'A. Signer' AS signer_name, 'Chief Executive Officer' AS signer_title FROM nation""")
+def registrant_profiles(spark, sf):
+    given = S.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("name"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("Street "), F.col("n_regionkey").cast("string"))).alias("address"))
+    return registrant.merged(given)
+
+
+@query("SELECT c_custkey AS id, '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || '}' AS body FROM customer")
+def json_rows(spark, sf):
+    return S.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.to_json(F.struct("c_custkey", "c_name", "c_nationkey")).alias("body"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'given' WHEN o_orderkey % 3 = 0 THEN 'lease' ELSE '' END AS doc_type,
+  CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN '2020-02-29' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS doc_date, CASE WHEN o_orderkey % 4 = 0 THEN '1.01,8.01' ELSE '1.01' END AS items FROM orders""")
+def model_metadata(spark, sf):
+    """What the offline stand-in reads from texts; a date that is none is left empty."""
+    o = S.table(spark, sf, "orders").withColumnRenamed("o_orderkey", "id")
+    key = F.col("id")
+    day = F.when(key % 5 == 0, "2021-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    text = F.concat(F.lit("A "), F.when(key % 3 == 0, "Lease").otherwise("deal"), F.lit(" of "), day, F.lit(" on Item 1.01, 4.44"), F.when(key % 4 == 0, " and 8.01, 1.01").otherwise(""), F.lit("."))
+    rows = o.select("id", text.alias("text"), F.when(key % 2 == 0, "given").alias("doc_type"), F.when((key % 7 == 0) & (key % 5 != 0), "2020-02-29").otherwise("").alias("doc_date"))
+    rows = models.item_suggestions(models.metadata(rows, models.ExtractiveChat()), models.ExtractiveChat())
+    return rows.select("id", "doc_type", "doc_date", F.array_join("items", ",").alias("items"))
+
+
+@query("SELECT o_orderkey AS doc, 1 AS pos, 'it grew ' || o_custkey || ' times' AS claim FROM orders WHERE o_orderkey % 2 = 0")
+def narrative_audit(spark, sf):
+    """Claims: one word for word in the evidence, one missing from it in half the rows, one in other order, which the second look clears."""
+    grew = F.concat(F.lit("it grew "), F.col("o_custkey").cast("string"), F.lit(" times"))
+    evidence = F.concat_ws(" ", F.lit("The buyer pays."), F.when(F.col("o_orderkey") % 2 == 1, grew))
+    docs = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.array(F.lit("the buyer pays"), grew, F.lit("pays the buyer")).alias("claims"), evidence.alias("evidence"))
+    return models.narrative_flags(docs, models.ExtractiveChat())
