@@ -12,7 +12,7 @@ from ..functions import delex as D
 from ..functions import ranking
 from ..functions import text as X
 from ..functions.facts import extract
-from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state
+from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state, vector_index
 from ..sources import tables as S
 from ..sources.tables import CLAUSES, GRANTS, KB, PAIRS
 
@@ -882,3 +882,13 @@ def narrative_audit(spark, sf):
     evidence = F.concat_ws(" ", F.lit("The buyer pays."), F.when(F.col("o_orderkey") % 2 == 1, grew))
     docs = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.array(F.lit("the buyer pays"), grew, F.lit("pays the buyer")).alias("claims"), evidence.alias("evidence"))
     return models.narrative_flags(docs, models.ExtractiveChat())
+
+
+@query()
+def vector_index_search(spark, sf):
+    """The ten most alike vectors, found in the index, for all those whose number 50 divides."""
+    rows = S.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    centres = vector_index.fit(rows, "vec_id", "embedding")
+    index = vector_index.build(rows, "vec_id", "embedding", centres)
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return vector_index.search(index, asked, "vec_id", "embedding", centres, 10, vector_index.probes(centres)).withColumn("similarity", F.round("similarity", 9))
