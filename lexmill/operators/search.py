@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import verify_quote
+from .text_index import TextIndex, top
 
 K_RRF = 60
 
@@ -74,10 +75,11 @@ def overlap_score(query: str, text: Column) -> Column:
     return F.size(F.array_intersect(asked, F.array_distinct(tokens(text)))) / F.greatest(F.size(asked), F.lit(1))
 
 
-def hybrid(df: DataFrame, query: str, vector: list[float], k: int = 8, leg: int = 20, pool: int = 30, rerank: bool = False) -> DataFrame:
-    """The k best hits of df (scoped and filtered already), with rrf_score, score and reranked."""
+def hybrid(df: DataFrame, query: str, vector: list[float], k: int = 8, leg: int = 20, pool: int = 30, rerank: bool = False, index: TextIndex | None = None) -> DataFrame:
+    """The k best hits of df (scoped and filtered already), with rrf_score, score and reranked. With a stored index of the texts the keyword leg
+    reads only the query's postings."""
     vec = vector_topk(df.filter(F.col("embedding").isNotNull()), vector, leg)
-    key = keyword_topk(df, query, leg)
+    key = keyword_topk(df, query, leg) if index is None else with_rank(top(index, query, leg, df), [F.desc("score"), F.col("doc_id")], "rank")
     fused = rrf([vec, key]).orderBy(F.desc("score"), "first_seen", "doc_id").limit(max(k, pool if rerank else k))
     hits = fused.select("doc_id", F.col("score").alias("rrf_score"), "first_seen").join(df, "doc_id")
     score = overlap_score(query, F.col("text")) if rerank else F.col("rrf_score")
@@ -85,11 +87,6 @@ def hybrid(df: DataFrame, query: str, vector: list[float], k: int = 8, leg: int
     return hits.orderBy(F.desc("score"), F.desc("rrf_score"), "first_seen", "doc_id").limit(k)
 
 
-def postings(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """lexeme, id, positions: an inverted index to be stored, partitioned or bucketed by lexeme."""
-    return df.select(id_col, F.posexplode(tokens(F.col(text))).alias("pos", "lexeme")).groupBy("lexeme", id_col).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
 #: Words of the runs by which quotes and documents meet.
 RUN = 5
 

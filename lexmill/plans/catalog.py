@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import boilerplate as B
 from ..functions import delex as D
-from ..functions import ranking
 from ..functions import text as X
 from ..functions.facts import extract
-from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state, vector_index
+from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state, text_index, vector_index
 from ..sources import tables as S
 from ..sources.tables import CLAUSES, GRANTS, KB, PAIRS
 
@@ -178,6 +177,21 @@ kr AS (SELECT doc_id, a + b AS score, row_number() OVER (ORDER BY a + b DESC, do
 _RRF = "f AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(seen) AS seen FROM (SELECT doc_id, rank, rank AS seen FROM vr UNION ALL SELECT doc_id, rank, 1000 + rank FROM kr) GROUP BY doc_id)"
 
 
+#: Text indices of this process by session, folder of tables and analyzer: built once, read by several queries.
+_INDICES: dict[tuple[str, str, str], text_index.TextIndex] = {}
+
+
+def _index(spark, sf, analyzer="simple"):
+    key = (spark.sparkContext.applicationId, sf, analyzer)
+    if key not in _INDICES:
+        _INDICES[key] = text_index.build(S.kb(spark, sf), analyzer=analyzer)
+    return _INDICES[key]
+
+
+def _keywords(spark, sf, library):
+    return search.with_rank(text_index.top(_index(spark, sf), ASKED, 20, library), [F.desc("score"), F.col("doc_id")], "rank")
+
+
 def _library(spark, sf):
     return access.scope(S.kb_vectors(spark, sf), SCOPE).filter(access.matching(doc_type="en"))
 
@@ -190,19 +204,19 @@ def vector_topk(spark, sf):
 
 @query(f"WITH {KB}, {_KW} SELECT doc_id, score, rank FROM kr")
 def keyword_topk(spark, sf):
-    return search.keyword_topk(_library(spark, sf), ASKED, 20).withColumn("rank", F.col("rank").cast("long"))
+    return _keywords(spark, sf, _library(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {KB}, {_VEC}, {_KW}, {_RRF} SELECT doc_id, round(score, 9) AS score FROM f")
 def rrf_fuse(spark, sf):
     lib = _library(spark, sf)
-    return search.rrf([search.vector_topk(lib, first_vector(spark, sf), 20), search.keyword_topk(lib, ASKED, 20)]).select("doc_id", F.round("score", 9).alias("score"))
+    return search.rrf([search.vector_topk(lib, first_vector(spark, sf), 20), _keywords(spark, sf, lib)]).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {KB}, {_VEC}, {_KW}, {_RRF}, h AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, seen, doc_id) AS place FROM f QUALIFY place <= 8)
 SELECT h.doc_id, round(score, 9) AS score, place, client, author, 'doc' || h.doc_id || '.txt [' || doc_type || ']' AS citation FROM h JOIN kb ON kb.doc_id = h.doc_id""")
 def hybrid_search(spark, sf):
-    hits = search.hybrid(_library(spark, sf), ASKED, first_vector(spark, sf), k=8)
+    hits = search.hybrid(_library(spark, sf), ASKED, first_vector(spark, sf), k=8, index=_index(spark, sf))
     place = F.row_number().over(Window.orderBy(F.desc("score"), "first_seen", "doc_id")).cast("long")
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return hits.select("doc_id", F.round("score", 9).alias("score"), place.alias("place"), "client", "author", X.citation(name, F.lit(0), F.col("doc_type")).alias("citation"))
@@ -212,7 +226,7 @@ def hybrid_search(spark, sf):
 r AS (SELECT p.doc_id, len(list_intersect(['of', 'the'], list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) / 2.0::DOUBLE AS s, place FROM p JOIN kb ON kb.doc_id = p.doc_id)
 SELECT doc_id, s AS score, row_number() OVER (ORDER BY s DESC, place) AS place FROM r QUALIFY row_number() OVER (ORDER BY s DESC, place) <= 8""")
 def lexical_rerank(spark, sf):
-    hits = search.hybrid(_library(spark, sf), ASKED, first_vector(spark, sf), k=8, rerank=True)
+    hits = search.hybrid(_library(spark, sf), ASKED, first_vector(spark, sf), k=8, rerank=True, index=_index(spark, sf))
     place = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("rrf_score"), "first_seen", "doc_id")).cast("long")
     return hits.select("doc_id", "score", place.alias("place"))
 
@@ -662,7 +676,7 @@ def section_slice(spark, sf):
 
 @query()
 def stemmed_search(spark, sf):
-    return ranking.ranked_search(access.scope(S.kb(spark, sf), SCOPE), "thing er", 20)
+    return text_index.top(_index(spark, sf, "english"), "the things of er", 20, access.scope(S.kb(spark, sf), SCOPE), score="distance")
 
 
 @query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import boilerplate as B
-from lexmill.functions import ranking
 from lexmill.operators import accounts, export, state
 
 CLOSE = "is qualified in its entirety by reference to the full text of such"
@@ -89,9 +88,3 @@ def test_accounts(spark, tmp_path):
     assert len(spark.read.parquet(f"{tmp_path}/audit_log").first()["detail"]) == 2000
     own.delete("ann")
     assert own.find("ann") is None and own.allowed(number, "lawyer") == []
-
-
-def test_rank(spark):
-    docs = spark.createDataFrame([(1, "the ending of agreements"), (2, "ended " + "x " * 50 + "agreement"), (3, "ending")], "doc_id long, text string")
-    assert [r["doc_id"] for r in ranking.ranked_search(docs, "Agreement ends", 5).collect()] == [1, 2]
-    assert ranking.stem("agreements") == ranking.stem("agreement") and ranking.lexemes("the end") == [("end", 2)]
