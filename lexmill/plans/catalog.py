@@ -11,7 +11,8 @@ from ..functions import boilerplate as B
 from ..functions import delex as D
 from ..functions import text as X
 from ..functions.facts import extract
-from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state, text_index, vector_index
+from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state, text_index, vector_codes, vector_index
+from ..scratch import written
 from ..sources import tables as S
 from ..sources.tables import CLAUSES, GRANTS, KB, PAIRS
 
@@ -906,3 +907,13 @@ def vector_index_search(spark, sf):
     index = vector_index.build(rows, "vec_id", "embedding", centres)
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     return vector_index.search(index, asked, "vec_id", "embedding", centres, 10, vector_index.probes(centres)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def vector_code_search(spark, sf):
+    """The ten most alike vectors, by codes and then exactly, for all those whose number 50 divides."""
+    rows = S.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    points = vector_codes.fit(rows, "vec_id", "embedding")
+    codes = written(vector_codes.encode(rows, "vec_id", "embedding", points), "vector_codes")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return vector_codes.search(codes, rows, asked, "vec_id", "embedding", points, 10).withColumn("similarity", F.round("similarity", 9))
