@@ -174,7 +174,7 @@ def columns(entries: np.ndarray) -> bytes:
     small = len(entries) and entries["id"].min() >= 0 and entries["id"].max() < 1 << 32
     short = len(entries) and entries["start"].max() < 1 << 16
     parts = (entries["hash"], entries["more"], entries["id"].astype("<u4") if small else entries["id"], entries["start"].astype("<u2") if short else entries["start"])
-    return bytes([small, short]) + len(entries).to_bytes(8, "little") + b"".join(p.tobytes() for p in parts)
+    return bytes([int(small), int(short)]) + len(entries).to_bytes(8, "little") + b"".join(p.tobytes() for p in parts)
 
 
 def entries_of(raw: bytes) -> np.ndarray:
@@ -185,7 +185,7 @@ def entries_of(raw: bytes) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, n: int = 20, depth: int = 1) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 20, depth: int = 1, block: int = BLOCK) -> DataFrame:
     """docs with `text` as its kept words, joined by one space, and n_words (before) and n_removed."""
     made = ("text", "n_words", "n_removed")
     plain, rest, back = by_place(docs, ("doc_id", "text"), made)
@@ -193,7 +193,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, depth: int = 1) -> DataFrame:
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(16, (CELLS * size).bit_length())
     parts = max(width(docs.sparkSession), (1 << bits) // PART)
-    place = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(size // BLOCK + 1))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(size // block + 1))
     blocks = plain.select(*rest, F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.coalesce("text", F.lit("")).alias("__t"), place.alias("__block"))
     shared = shared_cells(blocks, n, bits, parts, depth)
     gone = held_elsewhere(blocks, shared, n, bits, parts, depth)
