@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import delex as D
 from ..functions.text import RUBRIC, band, squeeze
@@ -73,28 +71,6 @@ def preserves_figures(before: Column, after: Column) -> Column:
     return F.size(F.array_except(numbers(before, DIGITS), numbers(after, DIGITS))) == 0
 
 
-def longest_common(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            row[j + 1], last = (last + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
-    return row[-1]
-
-
-@F.pandas_udf(T.DoubleType())
-def rouge_l(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """F1 of the longest common subsequence of lower-cased words."""
-    import re
-
-    out = []
-    for r, h in zip(reference, hypothesis):
-        a, b = (re.findall("[a-z0-9]+", (t or "").lower()) for t in (r, h))
-        n = longest_common(a, b) if a and b else 0
-        out.append(2 * n / (len(a) + len(b)) if n else 0.0)
-    return pd.Series(out)
-
-
 def number_placeholders(spans: DataFrame) -> DataFrame:
     """doc, typ, can, n: values numbered by type in the order in which they are met from the end of the text."""
     last = spans.groupBy("doc", "typ", "can").agg(F.max("start").alias("last"))

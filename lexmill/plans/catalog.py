@@ -11,6 +11,7 @@ from ..functions import boilerplate as B
 from ..functions import delex as D
 from ..functions import text as X
 from ..functions.facts import extract
+from ..functions.sequences import rouge_l as rouge_l_score
 from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state, text_index, vector_codes, vector_index
 from ..scratch import written
 from ..sources import tables as S
@@ -371,7 +372,7 @@ def number_recall(spark, sf):
 
 @query()
 def rouge_l(spark, sf):
-    return S.pairs(spark, sf).select("conv_id", "turn", F.round(corpus.rouge_l("output", "input"), 9).alias("rouge_l"))
+    return S.pairs(spark, sf).select("conv_id", "turn", F.round(rouge_l_score("output", "input"), 9).alias("rouge_l"))
 
 
 @query("SELECT lang, count(*) AS n, floor(median(length(text)))::BIGINT AS median_chars, max(length(text))::BIGINT AS max_chars FROM documents GROUP BY lang")
