@@ -161,13 +161,11 @@ def html_escape(x: Column) -> Column:
 
 
 def parse_amount(text: Column) -> Column:
-    """The first amount in text as a decimal, million and billion counted in."""
+    """The first amount in text as a decimal, million and billion counted in; null where there is none or it is out of range."""
     number = F.regexp_extract(text, r"([\d,]*\d[\d,]*(?:\.\d+)?)", 1)
     unit = F.lower(F.regexp_extract(text, r"(?i)[\d,]*\d[\d,]*(?:\.\d+)?\s*(million|billion)?", 1))
-    value = F.expr("CAST(NULL AS DECIMAL(28,6))")
-    plain = F.regexp_replace(number, ",", "")
-    value = F.when(plain != "", plain.cast("decimal(18,6)")).otherwise(value)
-    return (value * F.when(unit == "million", F.lit(1_000_000)).when(unit == "billion", F.lit(1_000_000_000)).otherwise(F.lit(1))).cast("decimal(28,6)")
+    factor = F.when(unit == "million", F.lit(1_000_000)).when(unit == "billion", F.lit(1_000_000_000)).otherwise(F.lit(1))
+    return F.try_multiply(F.regexp_replace(number, ",", "").try_cast("decimal(27,6)"), factor.cast("decimal(10,0)")).try_cast("decimal(28,6)")
 
 
 def chunk_text(text: str, size: int = 1200, overlap: int = 150) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import verify_quote
+from ..scratch import written
 from .text_index import TextIndex, top
 
 K_RRF = 60
@@ -87,25 +88,36 @@ def hybrid(df: DataFrame, query: str, vector: list[float], k: int = 8, leg: int
     return hits.orderBy(F.desc("score"), F.desc("rrf_score"), "first_seen", "doc_id").limit(k)
 
 
-#: Words of the runs by which quotes and documents meet.
-RUN = 5
+#: Words of the runs by which quotes and documents meet; short quotes that are looked for in one pass.
+RUN, SHORT = 5, 256
 
 
 def find_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, doc_id: every quote of items (item_id, quote) with every document (doc_id, text) that it stands in, as `verify_quote` has it.
 
-    Any match holds the quote's longest segment, and so RUN of its whole words (all but the first and the last, which may be cut)
-    as words of the document: quotes meet documents by that run and are then verified. Quotes that are too short for a run meet all documents.
+    Any match holds the quote's longest segment, and so each run of RUN of its whole words (all but the first and the last, which may be cut)
+    as words of the document. Quotes meet documents by that of their runs which the fewest documents have, and are then verified. Quotes
+    too short for a run are looked for in the texts themselves, SHORT in one pass over the documents.
     """
     words = lambda x: F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
     segments = F.transform(F.split("quote", r"(?U)\s*(?:\.{3}|…)\s*"), words)
     longest = F.array_max(F.transform(segments, lambda s: F.struct(F.size(s).alias("n"), s.alias("words"))))
     items = items.withColumn("longest", longest).withColumn("n", F.col("longest.n"))
-    runs = items.filter(F.col("n") >= RUN + 2).select("item_id", "quote", F.xxhash64(F.slice("longest.words", 2, RUN)).alias("run"))
+
+    def runs_of(w: Column, first: int, last: Column) -> Column:
+        return F.when(last >= first, F.array_distinct(F.transform(F.sequence(F.lit(first), F.when(last >= first, last).otherwise(first)), lambda i: F.xxhash64(F.slice(w, i, RUN)))))
+
     w = F.col("words")
-    starts = F.when(F.size(w) >= RUN, F.sequence(F.lit(1), F.size(w) - RUN + 1))
-    met = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, RUN)))).alias("run"))
-    found = met.join(runs, "run").select("item_id", "quote", F.col("doc_id").alias("__doc")).distinct()
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")
-    short = docs.crossJoin(items.filter(F.col("n") < RUN + 2).select("item_id", "quote"))
-    return both.unionByName(short).filter(verify_quote(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    runs = items.filter(F.col("n") >= RUN + 2).select("item_id", "quote", F.explode(runs_of(F.col("longest.words"), 2, F.col("n") - RUN)).alias("run"))
+    met = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.explode(runs_of(w, 1, F.size(w) - RUN + 1)).alias("run"))
+    met = written(met.join(runs.select("run").distinct(), "run", "left_semi"), "quote_runs")
+    counts = met.groupBy("run").agg(F.count(F.lit(1)).alias("held"))
+    rarest = runs.join(counts, "run", "left").groupBy("item_id", "quote").agg(F.min_by("run", F.struct(F.coalesce("held", F.lit(0)), F.col("run"))).alias("run"))
+    found = met.join(rarest, "run").select("item_id", "quote", F.col("doc_id").alias("__doc")).distinct()
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc").filter(verify_quote(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    short = [(r[0], r[1]) for r in items.filter(F.col("n") < RUN + 2).select("item_id", "quote").distinct().toLocalIterator()]
+    for at in range(0, len(short), SHORT):
+        asked = F.array(*(F.struct(F.lit(i).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(q).alias("quote")) for i, q in short[at : at + SHORT]))
+        held = F.filter(asked, lambda x: verify_quote(x["quote"], F.col("text")))
+        both = both.unionByName(docs.select(F.explode(held).alias("x"), "doc_id").select(F.col("x.item_id").alias("item_id"), "doc_id"))
+    return both

@@ -13,9 +13,10 @@ from ..functions import text as X
 from ..functions.facts import extract
 from ..functions.sequences import rouge_l as rouge_l_score
 from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state, text_index, vector_codes, vector_index
+from ..providers import people
 from ..scratch import written
 from ..sources import tables as S
-from ..sources.tables import CLAUSES, GRANTS, KB, PAIRS
+from ..sources.tables import CLAUSES, DEALS, GRANTS, KB, PAIRS, SIGNED
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -514,6 +515,24 @@ def groundable_texts(spark, sf):
     return corpus.groundable_texts(S.deals(spark, sf).select("doc", "draft", "source")).withColumn("share", F.round("share", 9))
 
 
+_CORP = D.CORP.replace("'", "''")
+_VALUES = rf"""list_concat(
+  list_transform(regexp_extract_all({{0}}, '(?:{D.MONTH_WORDS})\s+\d{{{{1,2}}}},?\s+\d{{{{4}}}}|\b\d{{{{4}}}}-\d{{{{2}}}}-\d{{{{2}}}}\b'), lambda x: 'DATE ' || strftime(coalesce(try_strptime(x, '%B %d, %Y'), try_strptime(x, '%Y-%m-%d')), '%Y-%m-%d')),
+  list_transform(regexp_extract_all({{0}}, '(?i)\$\s?\d[\d,]*(?:\.\d+)?(?:\s?(?:million|billion|thousand))?'), lambda x: 'AMOUNT ' || printf('%.6f', regexp_replace(x, '[^0-9.]', '', 'g')::DOUBLE * CASE WHEN contains(lower(x), 'million') THEN 1e6 ELSE 1 END)),
+  list_transform(regexp_extract_all({{0}}, '\b[A-Z][\w&.\-]*(?:[ \t,&]+(?:[A-Z][\w&.\-]*|and)){{{{0,6}}}}[ \t,]+{_CORP}\b\.?'), lambda x: 'ORG ' || lower(x)),
+  list_transform(regexp_extract_all({{0}}, '\b[A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+\b'), lambda x: 'PERSON ' || lower(x)))"""
+
+
+@query(f"""WITH {PAIRS}, {DEALS}, {SIGNED}, v AS (SELECT conv_id, turn, {_VALUES.format("input")} AS i, {_VALUES.format("output")} AS o FROM signed)
+SELECT conv_id, turn, len(i)::INT AS n_input, len(o)::INT AS n_output, len(list_distinct(list_concat(i, o)))::INT AS n_values, len(list_intersect(i, o))::INT AS n_shared FROM v""")
+def delex_pairs(spark, sf):
+    """Placeholders in inputs and outputs that share a registry: occurrences, different ones, and those that both have."""
+    made = corpus.delex_pairs(S.signed_pairs(spark, sf), ["conv_id", "turn"], people)
+    held = lambda c: F.regexp_extract_all(c, F.lit(D.PLACEHOLDER), F.lit(0))
+    i, o = held("input"), held("output")
+    return made.select("conv_id", "turn", F.size(i).alias("n_input"), F.size(o).alias("n_output"), F.size("surfaces").alias("n_values"), F.size(F.array_intersect(i, o)).alias("n_shared"))
+
+
 # --- reviews and filings ---
 
 

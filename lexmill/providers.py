@@ -7,6 +7,11 @@ import math
 import re
 from typing import Protocol
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .functions.spans import matches
+
 STUB = "offline-stub"
 
 
@@ -57,6 +62,15 @@ class OverlapReranker:
         return [len(asked & set(re.findall("[a-z0-9]+", t.lower()))) / max(1, len(asked)) for t in texts]
 
 
+#: The stand-in's idea of a person: first name, initial, last name.
+PERSON = r"(?U)\b[A-Z]\p{Ll}+ [A-Z]\. [A-Z]\p{Ll}+\b"
+
+
+def people(text: Column) -> Column:
+    """Array of struct a, b: where the stand-in for a recogniser of names sees persons."""
+    return F.transform(matches(text, PERSON), lambda m: F.struct(m["pos"].alias("a"), (m["pos"] + F.length(m["raw"])).alias("b")))
+
+
 def rerank_or_keep(reranker: Reranker, query: str, texts: list[str]) -> tuple[list[float], bool]:
     """Scores and True, or, if the reranker fails, falling scores in the order given and False."""
     try:

@@ -83,7 +83,23 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user.join(reply, (F.col("conv_id") == F.col("c2")) & (F.col("turn") == F.col("t2"))).select("conv_id", "turn", "input", "output")
 
 
+def signed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, input, output: pairs whose texts go on with the source and the draft of a deal and with who signed."""
+    deal = deals(spark, sf_dir).select("doc", "source", "draft")
+    signer = F.element_at(F.array(*map(F.lit, SIGNERS)), (F.col("doc") % 3 + 1).cast("int"))
+    other = F.when(F.col("doc") % 2 == 0, signer).otherwise(SIGNERS[2])
+    signed = lambda text, deal, who: F.concat_ws(" ", F.col(text), F.col(deal), F.concat(F.lit("Signed by "), who, F.lit("."))).alias(text)
+    p = pairs(spark, sf_dir)
+    return p.join(deal, F.col("conv_id") * 8 + F.col("turn") == F.col("doc"), "left").select("conv_id", "turn", signed("input", "source", signer), signed("output", "draft", other))
+
+
+SIGNERS = ["Ann B. Clark", "Jean R. Dubois", "Max O. Weber"]
+
 # The same views in SQL, as common table expressions.
+DEALS = """deals AS (SELECT o_orderkey AS doc, 'On ' || strftime(o_orderdate, '%B %-d, %Y') || ', ' || party || ' agreed to pay ' || money || ' for ' || shares || ' shares.' AS draft,
+  'Dated ' || CASE WHEN k = 4 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%B %-d, %Y') END || '. ' || party || ' pays ' ||
+  CASE k WHEN 1 THEN '$' || printf('%.4f', o_totalprice / 1e6) || ' million' WHEN 2 THEN '$' || format('{:,.2f}', o_totalprice + 1000) WHEN 3 THEN 'an undisclosed amount' ELSE money END || ' and receives ' || shares || ' shares.' AS source
+  FROM (SELECT *, o_orderkey % 5 AS k, o_orderkey % 900 + 100 AS shares, replace(c_name, '#', '-') || ' Inc.' AS party, '$' || format('{:,.2f}', o_totalprice) AS money FROM orders JOIN customer ON o_custkey = c_custkey))"""
 KB = """kb AS (SELECT doc_id, text, lang AS doc_type, source AS client, 'atty' || (doc_id % 7) AS author,
   DATE '2024-01-01' + (doc_id % 365)::INT AS doc_date, CASE WHEN doc_id % 2 = 0 THEN ['1.01', '9.01'] ELSE ['1.01'] END AS filing_items FROM documents)"""
 GRANTS = "grants AS (SELECT DISTINCT user_id, 'src' || ((user_id + event_id % 3) % 20) AS client FROM events)"
@@ -91,3 +107,5 @@ CLAUSES = """clauses AS (SELECT l_orderkey AS contract, l_linenumber::INT AS win
   CASE WHEN l_linenumber % 3 = 0 THEN 'Not found' ELSE 'v' || l_partkey END AS value FROM lineitem)"""
 PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS input, a.text AS output FROM conversations u JOIN conversations a
   ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+SIGNED = f"""signed AS (SELECT conv_id, turn, concat_ws(' ', input, source, 'Signed by ' || who || '.') AS input, concat_ws(' ', output, draft, 'Signed by ' || CASE WHEN doc % 2 = 0 THEN who ELSE '{SIGNERS[2]}' END || '.') AS output
+  FROM (SELECT p.*, d.*, {SIGNERS}[(doc % 3 + 1)::INT] AS who FROM pairs p LEFT JOIN deals d ON conv_id * 8 + turn = doc))"""

@@ -174,3 +174,39 @@ def test_providers():
             raise RuntimeError
 
     assert rerank_or_keep(Broken(), "q", ["a", "b"]) == ([0.0, -1.0], False) and rerank_or_keep(Broken(), "q", []) == ([], True)
+
+
+def test_many_figures_meet_in_linear_time(spark):
+    """A document of five thousand different figures on each side, some of them rounded: as many pairs as there are matches."""
+    source = " ".join(f"${i},{i % 1000:03d}.25 was paid." for i in range(1, 1000)) + " " + " ".join(f"{i},000 shares went." for i in range(1, 1000)) * 4
+    draft = source.replace(".25 was", ".24 was") + " $3 million and $999,998,999.00 more."
+    docs = spark.createDataFrame([(1, draft, source + " $3,200,000 came.")], "doc long, draft string, source string")
+    d, s = (facts.extract(docs, side, ["doc"]) for side in ("draft", "source"))
+    pairs = reconcile.met_facts(d, s).count()
+    assert 1000 <= pairs < 4 * s.count()
+
+
+def test_matches_are_those_of_all_pairs(spark):
+    import itertools
+    import random
+
+    draw = random.Random(6)
+    figure = lambda: draw.choice([f"${draw.randint(1, 30)} million", f"${draw.randint(1, 30)},{draw.randint(0, 9)}00,000", f"{draw.randint(1, 9)}.{draw.randint(0, 9)}%", f"${draw.randint(1, 20)}.{draw.randint(0, 9)}", "May 3, 2024", "2024-05-03", "Acme Holdings Corp.", "Acme Inc.", f"{draw.randint(1, 9)},000 shares"])
+    texts = [(i, *(" and ".join(figure() for _ in range(25)) for _ in range(2))) for i in range(6)]
+    docs = spark.createDataFrame(texts, "doc long, draft string, source string")
+    d, s = (facts.extract(docs, side, ["doc"]) for side in ("draft", "source"))
+    got = {(r["doc"], r["kind"], tuple(r["d"])[:3], tuple(r["s"])[:3], r["s"]["ord"]) for r in reconcile.met_facts(d, s).collect()}
+    want = {}
+    for a, b in itertools.product(d.collect(), s.collect()):
+        if a["doc"] == b["doc"] and a["kind"] == b["kind"]:
+            if a["kind"] in reconcile.NUMERIC:
+                fits = abs(a["num"] - b["num"]) * 2 <= max(a["step"], b["step"])
+            elif a["kind"] == "date":
+                fits = a["text"] == b["text"]
+            else:
+                x, y = set(a["text"].split(" ")), set(b["text"].split(" "))
+                fits = x <= y or y <= x
+            if fits:
+                key = (a["doc"], a["kind"], (a["num"], a["text"], a["step"]), (b["num"], b["text"], b["step"]))
+                want[key] = min(want.get(key, b["ord"]), b["ord"])
+    assert got == {(*k, o) for k, o in want.items()} and len(got) > 20
