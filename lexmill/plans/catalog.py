@@ -12,9 +12,10 @@ from ..functions import delex as D
 from ..functions import text as X
 from ..functions.facts import extract
 from ..functions.sequences import rouge_l as rouge_l_score
-from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, review, search, state, text_index, vector_codes, vector_index
+from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, replies, review, search, state, text_index, vector_codes, vector_index
+from ..operators import contract_review as review_steps
 from ..providers import people
-from ..scratch import written
+from ..scratch import folder, written
 from ..sources import tables as S
 from ..sources.tables import CLAUSES, DEALS, GRANTS, KB, PAIRS, SIGNED
 
@@ -937,3 +938,34 @@ def vector_code_search(spark, sf):
     codes = written(vector_codes.encode(rows, "vec_id", "embedding", points), "vector_codes")
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     return vector_codes.search(codes, rows, asked, "vec_id", "embedding", points, 10).withColumn("similarity", F.round("similarity", 9))
+
+
+CHECKLIST = ["thing", "keit", "tion", "warranty"]
+_WINDOWS = "w AS (SELECT doc_id, win, substr(text, win + 1, 9000) AS t FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(generate_series(0, greatest(length(coalesce(text, '')) - 1, 0), 7200)) AS win FROM documents))"
+_BARE = "regexp_replace({0}, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')"
+_SAID = _BARE.format(f"left({_BARE}, 60)")
+
+
+@query(rf"""WITH {_WINDOWS}, n AS (SELECT unnest({CHECKLIST}) AS name), d AS (SELECT doc_id, {_NORM.format("coalesce(text, '')")} AS t FROM documents),
+a AS (SELECT doc_id, win, name, list_filter(string_split(w.t, '.'), lambda p: contains(lower(p), name))[1] AS p FROM w, n),
+f AS (SELECT doc_id, name, arg_min({_BARE.format("p")}, win) FILTER (WHERE p IS NOT NULL) AS own FROM a GROUP BY doc_id, name),
+q AS (SELECT *, CASE WHEN length(own) <= 80 THEN own ELSE upper(own) END AS said FROM f JOIN d USING (doc_id)),
+g AS (SELECT *, {_PIECES.format("said")} AS ps, {_PIECES.format("own")} AS os FROM q),
+v AS (SELECT *, own IS NOT NULL AND {_NORM.format("said")} <> '' AND {_HELD.format("ps", _NORM.format("said"))} AS first, own IS NOT NULL AND {_NORM.format("own")} <> '' AND {_HELD.format("os", _NORM.format("own"))} AS second FROM g)
+SELECT doc_id AS doc, name, coalesce(left(own, 40), 'Not found') AS value, CASE WHEN own IS NULL THEN '' WHEN first OR NOT second THEN said ELSE own END AS quote,
+  coalesce(first OR second, false) AS verified, coalesce(NOT first AND second, false) AS repaired FROM v""")
+def contract_review(spark, sf):
+    """Clauses of a checklist in all documents, by the offline stand-in, with a second pass for what isn't found or doesn't verify."""
+    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return review_steps.clauses(docs, CHECKLIST, replies.Ledger(spark, folder(spark, "replies")), review_steps.SentenceChat())
+
+
+@query(rf"""WITH {_WINDOWS}, s AS (SELECT doc_id, win // 7200 AS i, {_SAID.format("string_split(t, '.')[1]")} AS s FROM w),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM s),
+u AS (SELECT doc_id, n, i // 8 AS i, {_SAID.format("string_split(string_agg(s, chr(10) ORDER BY i), '.')[1]")} AS s FROM c WHERE n > 1 GROUP BY doc_id, n, i // 8),
+v AS (SELECT doc_id, {_SAID.format("string_split(string_agg(s, chr(10) ORDER BY i), '.')[1]")} AS s FROM u WHERE n > 8 GROUP BY doc_id)
+SELECT doc_id AS doc, s AS summary, 1 AS levels FROM c WHERE n = 1 UNION ALL SELECT doc_id, s, 2 FROM u WHERE n <= 8 UNION ALL SELECT doc_id, s, 3 FROM v""")
+def review_summaries(spark, sf):
+    """Summaries of windows, summarised until one is left for each document (the SQL goes up to 64 windows)."""
+    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return review_steps.summary(docs, replies.Ledger(spark, folder(spark, "replies")), review_steps.SentenceChat())
