@@ -12,7 +12,7 @@ from ..functions import delex as D
 from ..functions import text as X
 from ..functions.facts import extract
 from ..functions.sequences import rouge_l as rouge_l_score
-from ..operators import access, corpus, drafts, export, filing, models, reconcile, registrant, replies, review, search, state, text_index, vector_codes, vector_index
+from ..operators import access, commits, corpus, drafts, export, filing, models, reconcile, registrant, replies, review, search, state, text_index, vector_codes, vector_index
 from ..operators import contract_review as review_steps
 from ..providers import people
 from ..scratch import folder, written
@@ -969,3 +969,16 @@ def review_summaries(spark, sf):
     """Summaries of windows, summarised until one is left for each document (the SQL goes up to 64 windows)."""
     docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
     return review_steps.summary(docs, replies.Ledger(spark, folder(spark, "replies")), review_steps.SentenceChat())
+
+
+@query(r"""WITH d AS (SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) FILTER (WHERE lang = 'en') AS e, min(doc_id) AS m, any_value(coalesce(text, '')) AS text FROM documents GROUP BY 1)
+SELECT row_number() OVER (ORDER BY e IS NULL, coalesce(e, m), sha256) AS id, coalesce(e, m) AS source_id, sha256,
+  len(list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> ''))::BIGINT AS n_chunks FROM d""")
+def ingest_commits(spark, sf):
+    """A library into which first the English documents are ingested and then all: two commits over documents, chunks and the log."""
+    library = commits.Tables(spark, folder(spark, "library"), commits.LIBRARY)
+    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text", "lang")
+    for part in (docs.filter("lang = 'en'"), docs):
+        commits.ingest(library, part, lambda c: X.paragraphs(F.col(c)))
+    n = library.read("chunks").groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return library.read("documents").join(n, "id", "left").select("id", "source_id", "sha256", F.coalesce("n", F.lit(0)).alias("n_chunks"))
