@@ -12,10 +12,12 @@ from ..functions import delex as D
 from ..functions import text as X
 from ..functions.facts import extract
 from ..functions.sequences import rouge_l as rouge_l_score
+from ..functions.table_functions import Extensions, by_pattern
 from ..operators import access, commits, corpus, drafts, export, filing, models, reconcile, registrant, replies, review, search, state, text_index, vector_codes, vector_index
 from ..operators import contract_review as review_steps
 from ..providers import people
 from ..scratch import folder, written
+from ..sources import files
 from ..sources import tables as S
 from ..sources.tables import CLAUSES, DEALS, GRANTS, KB, PAIRS, SIGNED
 
@@ -982,3 +984,27 @@ def ingest_commits(spark, sf):
         commits.ingest(library, part, lambda c: X.paragraphs(F.col(c)))
     n = library.read("chunks").groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return library.read("documents").join(n, "id", "left").select("id", "source_id", "sha256", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+
+
+@query(f"""WITH {DEALS}, x AS (SELECT doc, draft, unnest(list_concat(list_transform(regexp_extract_all(draft, '\\$[\\d,]+\\.\\d\\d'), lambda r: ['money', r]), list_transform(regexp_extract_all(draft, '[A-Z][a-z]+ \\d+, \\d{{4}}'), lambda r: ['day', r]))) AS f FROM deals),
+c AS (SELECT doc, f[1] AS kind, (strpos(draft, f[2]) - 1)::INT AS pos, f[2] AS raw, CASE WHEN doc % 2 = 0 THEN ['Price', 'Shares'] ELSE ['Day'] END AS l FROM x)
+SELECT doc, kind, pos, raw, array_to_string(l, ',') AS asked FROM c""")
+def extension_rows(spark, sf):
+    """What registered extractors find in all drafts, and the checklist of each, through SQL."""
+    own = Extensions({"figures": lambda t: [*by_pattern("money", r"\$[\d,]+\.\d\d")(t), *by_pattern("day", r"[A-Z][a-z]+ \d+, \d{4}")(t)]}, {"even": ["Price", "Shares"], "odd": ["Day"]})
+    own.register(spark)
+    S.deals(spark, sf).createOrReplaceTempView("deals_to_extract")
+    lists = "SELECT k.name, array_join(transform(array_sort(collect_list(struct(c.place, c.clause))), x -> x.clause), ',') AS asked FROM VALUES ('even'), ('odd') AS k(name), LATERAL checklist(k.name) c GROUP BY k.name"
+    return spark.sql(f"SELECT d.doc, x.kind, x.at AS pos, x.raw, l.asked FROM deals_to_extract d, LATERAL extract('figures', d.draft) x JOIN ({lists}) l ON l.name = if(d.doc % 2 = 0, 'even', 'odd')")
+
+
+@query(f"""WITH {KB}, m AS (SELECT client, doc_type, count(*) AS n_files, max(length(text)) AS most FROM kb GROUP BY ALL),
+t AS (SELECT client, doc_type, arg_max(sha256(text), (length(text), -doc_id)) AS text_sha256 FROM kb WHERE text IS NOT NULL GROUP BY ALL)
+SELECT m.client, m.doc_type, n_files, most::BIGINT AS n_chars, text_sha256 FROM m LEFT JOIN t ON m.client IS NOT DISTINCT FROM t.client AND m.doc_type IS NOT DISTINCT FROM t.doc_type""")
+def manifest_texts(spark, sf):
+    """Each entry of a manifest with the largest of its files' texts."""
+    kb = S.kb(spark, sf)
+    entries = kb.groupBy("client", "doc_type").agg(F.count(F.lit(1)).alias("n_files"))
+    own = files.largest_text(kb, ["client", "doc_type"], "doc_id").withColumnsRenamed({"client": "c", "doc_type": "d"})
+    met = entries.join(own, F.col("client").eqNullSafe(F.col("c")) & F.col("doc_type").eqNullSafe(F.col("d")), "left")
+    return met.select("client", "doc_type", "n_files", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))

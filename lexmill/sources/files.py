@@ -112,9 +112,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def largest_text(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Of several texts for the same keys the longest."""
-    return files.groupBy(*keys).agg(F.max_by("text", F.length("text")).alias("text"))
+def largest_text(files: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Of several texts for the same keys the longest; of equally long ones that of the least `order`, where it is given."""
+    size = F.struct(F.length("text"), -F.col(order)) if order else F.length("text")
+    return files.filter("text IS NOT NULL").groupBy(*keys).agg(F.max_by("text", size).alias("text"))
 
 
 def content_path(sha256: str, suffix: str) -> str:
