@@ -19,6 +19,7 @@ from ..providers import people
 from ..scratch import folder, written
 from ..sources import files
 from ..sources import tables as S
+from ..streaming import sessions
 from ..sources.tables import CLAUSES, DEALS, GRANTS, KB, PAIRS, SIGNED
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1008,3 +1009,11 @@ def manifest_texts(spark, sf):
     own = files.largest_text(kb, ["client", "doc_type"], "doc_id").withColumnsRenamed({"client": "c", "doc_type": "d"})
     met = entries.join(own, F.col("client").eqNullSafe(F.col("c")) & F.col("doc_type").eqNullSafe(F.col("d")), "left")
     return met.select("client", "doc_type", "n_files", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS expires, count(*) AS n FROM s GROUP BY user_id, k""")
+def expired_sessions(spark, sf):
+    own = sessions.expired(S.table(spark, sf, "events"))
+    return own.select("user_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started", "expires")), "n")
