@@ -8,6 +8,7 @@ the job), so a job that is killed loses no more than its unfinished tasks. Failu
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,13 +33,11 @@ class Ledger:
     pause: float = 0.05
 
     def rows(self) -> DataFrame:
-        """All replies and failures so far; LEDGER."""
-        try:
-            return self.spark.read.schema(LEDGER).parquet(self.path)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return self.spark.createDataFrame([], LEDGER)
+        """All replies and failures so far; LEDGER. Each question's replies have a folder of their own, so that two states of a ledger are different scans in one plan."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        folders = sorted(f"{self.path}/{s.getPath().getName()}" for s in fs.listStatus(where)) if fs.exists(where) else []
+        return self.spark.read.schema(LEDGER).parquet(*folders) if folders else self.spark.createDataFrame([], LEDGER)
 
     def known(self) -> DataFrame:
         """key, reply of what was answered; a key that two runs have asked at once has the least of its replies."""
@@ -68,7 +67,7 @@ class Ledger:
 
         # So many tasks, each of which commits its own replies.
         todo = todo.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("key"))
-        todo.mapInPandas(batches, LEDGER).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(self.path)
+        todo.mapInPandas(batches, LEDGER).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{self.path}/{task}-{uuid.uuid4().hex}")
         last = self.rows().groupBy("key").agg(F.min("reply").alias("reply"), F.max("error").alias("error"))
         met = keyed.join(last, F.col("__key") == F.col("key"), "left")
         said = strip_thinking(F.col("reply")).alias("reply")

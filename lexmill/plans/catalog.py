@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..functions.facts import extract
 from ..functions.sequences import rouge_l as rouge_l_score
 from ..functions.table_functions import Extensions, by_pattern
-from ..operators import access, commits, corpus, drafts, export, filing, models, reconcile, registrant, replies, review, search, state, text_index, vector_codes, vector_index
+from ..operators import access, commits, corpus, drafting, drafts, export, filing, models, reconcile, registrant, replies, review, search, state, text_index, vector_codes, vector_index
 from ..operators import contract_review as review_steps
 from ..providers import people
 from ..scratch import folder, written
@@ -1017,3 +1017,16 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(
 def expired_sessions(spark, sf):
     own = sessions.expired(S.table(spark, sf, "events"))
     return own.select("user_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started", "expires")), "n")
+
+
+_FURNISHED = "'A copy of the press release is furnished as Exhibit 99.1 to this Current Report on Form 8-K and is incorporated herein by reference.'"
+
+
+@query(f"""WITH {DEALS} SELECT doc, CASE WHEN contains(source, '$') THEN substr(source, strpos(source, '. ') + 2) ELSE '{D.MARKER} is due.' END AS disclosure, CASE WHEN contains(source, '$') THEN 0 ELSE 1 END AS n_missing,
+CASE WHEN contains(source, 'undisclosed') THEN '' ELSE left(source, strpos(source, '. ')) || chr(10) || chr(10) END || {_FURNISHED} AS news FROM deals""")
+def model_drafts(spark, sf):
+    """Drafts of the offline stand-in from all deals' sources: a skeleton filled in again, and a news item."""
+    deals, ledger = S.deals(spark, sf), replies.Ledger(spark, folder(spark, "replies"), pause=0.0)
+    made = drafting.skeletons(deals, ledger, drafting.DraftChat(), people).select("doc", "disclosure", F.size("missing").alias("n_missing"))
+    told = drafting.news(deals.select("doc", "source", F.lit("99.1").alias("exhibit")), ledger, drafting.DraftChat())
+    return made.join(told.withColumnRenamed("disclosure", "news"), "doc")
