@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import delex as D
 from ..providers import STUB
+from ..scratch import spread, written
 from .drafts import BREAK, add_context
 from .models import Chat
 from .replies import Ledger
@@ -48,8 +49,9 @@ class DraftChat:
 def skeletons(docs: DataFrame, ledger: Ledger, model: Chat, people: Callable[[Column], Column] | None = None) -> DataFrame:
     """doc, skeleton, disclosure, missing of docs (doc, source): disclosure is the skeleton with the source's values, missing its placeholders without one. All null where
     the model failed."""
-    found = docs.select("doc", "source", D.spans(F.col("source"), people(F.col("source")) if people else None).alias("spans"))
+    found = spread(docs.select("doc", "source")).select("doc", "source", D.spans(F.col("source"), people(F.col("source")) if people else None).alias("spans"))
     made = found.select("doc", D.delex(F.col("source"), F.col("spans")).alias("made")).select("doc", F.col("made.skeleton").alias("asked"), F.col("made.surfaces").alias("surfaces"))
+    made = written(made, "delexed")
     said = ledger.ask(made, model, "skeleton", VERSION, "asked")
     filled = said.select("doc", F.col("reply").alias("skeleton"), F.when(F.col("reply").isNotNull(), D.backfill(F.col("reply"), F.col("surfaces"))).alias("filled"))
     return filled.select("doc", "skeleton", F.col("filled.text").alias("disclosure"), F.col("filled.missing").alias("missing"))

@@ -259,7 +259,18 @@ def paragraphs(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", F.size(X.paragraphs(F.col("text"))).cast("long").alias("n_paragraphs"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+_TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_FULL = "pending <> '' AND length(pending) + 1 + length(rest) > 1200"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_TRIM.format("x")}), lambda x: x <> '') AS ps FROM documents),
+s AS (SELECT doc_id, ps, 0 AS i, '' AS pending, CAST([] AS VARCHAR[]) AS made FROM p
+  UNION ALL
+  SELECT doc_id, ps, i + 1, CASE WHEN {_FULL} THEN right(pending, 150) || chr(10) || rest WHEN pending <> '' THEN pending || chr(10) || rest ELSE rest END,
+    list_concat(list_transform(range(h), lambda k: substr(para, k * 1050 + 1, 1200)), CASE WHEN {_FULL} THEN [{_TRIM.format("pending")}] ELSE [] END)
+  FROM (SELECT *, substr(para, h * 1050 + 1) AS rest FROM (SELECT *, ps[i + 1] AS para, CASE WHEN length(ps[i + 1]) > 1200 THEN ceil((length(ps[i + 1]) - 1200) / 1050.0)::INT ELSE 0 END AS h FROM s WHERE i < len(ps)))),
+c AS (SELECT doc_id, i, unnest(made) AS content, generate_subscripts(made, 1) AS k FROM s UNION ALL SELECT doc_id, i + 1, {_TRIM.format("pending")}, 1 FROM s WHERE i = len(ps) AND {_TRIM.format("pending")} <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS chunk_index, length(content)::INT AS n_chars, sha256(content) AS content_sha256 FROM c""")
 def chunk_documents(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunks("text")).alias("chunk_index", "content"))
     return d.select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
