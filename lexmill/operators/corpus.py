@@ -119,12 +119,13 @@ def delex_round_trip(docs: DataFrame) -> DataFrame:
     return back.select("doc", F.regexp_count("skeleton", F.lit(D.PLACEHOLDER)).alias("n_placeholders"), same.alias("same"))
 
 
-def delex_pairs(pairs: DataFrame, keys: list[str], people: Callable[[Column], Column] | None = None) -> DataFrame:
+def delex_pairs(pairs: DataFrame, keys: list[str], people: Callable[[Column], Column] | None = None, cores: bool = True, **how) -> DataFrame:
     """keys, input, output (skeletons with shared placeholders) and surfaces of pairs (keys, input, output): the input is numbered first, so that a placeholder
-    that a model copies from it stands for the input's value. people: what recognises persons in a text."""
-    spans = lambda c: D.spans(F.col(c), people(F.col(c)) if people else None).alias(f"__{c}")
+    that a model copies from it stands for the input's value. people: what recognises persons in a text; how: rules, canon and stop of `D.spans`; cores: whether
+    companies' names without their endings are looked for."""
+    spans = lambda c: D.spans(F.col(c), people(F.col(c)) if people else None, **how).alias(f"__{c}")
     found = pairs.select(*keys, "input", "output", spans("input"), spans("output"))
-    made = found.select(*keys, D.delex_together([F.col("input"), F.col("output")], [F.col("__input"), F.col("__output")]).alias("made"))
+    made = found.select(*keys, D.delex_together([F.col("input"), F.col("output")], [F.col("__input"), F.col("__output")], cores).alias("made"))
     return made.select(*keys, F.get("made.skeletons", 0).alias("input"), F.get("made.skeletons", 1).alias("output"), F.col("made.surfaces").alias("surfaces"))
 
 

@@ -66,9 +66,9 @@ class OverlapReranker:
 PERSON = r"(?U)\b[A-Z]\p{Ll}+ [A-Z]\. [A-Z]\p{Ll}+\b"
 
 
-def people(text: Column) -> Column:
+def people(text: Column, pattern: str = PERSON) -> Column:
     """Array of struct a, b: where the stand-in for a recogniser of names sees persons."""
-    return F.transform(matches(text, PERSON), lambda m: F.struct(m["pos"].alias("a"), (m["pos"] + F.length(m["raw"])).alias("b")))
+    return F.transform(matches(text, pattern), lambda m: F.struct(m["pos"].alias("a"), (m["pos"] + F.length(m["raw"])).alias("b")))
 
 
 def rerank_or_keep(reranker: Reranker, query: str, texts: list[str]) -> tuple[list[float], bool]:

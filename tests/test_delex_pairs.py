@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import boilerplate, delex, facts
 from lexmill.functions import text as X
 from lexmill.operators import corpus
+from lexmill.plans import catalog
 from lexmill.providers import people
 from lexmill.sources import tables
 
@@ -57,3 +58,9 @@ def test_names_that_end_a_quotation(spark):
     odd = r"A\E(c Corp"
     row = spark.range(1).select(F.regexp_replace(F.lit(f"by {odd}!"), boilerplate.quoted(F.lit(odd)), F.lit("X"))).first()
     assert row[0] == "by X!"
+
+def test_plain_rules_see_ascii_alone(spark):
+    """The rules of the query's SQL: short names count, accented letters end a word, what is left of a name isn't looked for."""
+    how = {"people": lambda t: people(t, catalog.ASCII_PERSON), "cores": False, **catalog.PLAIN_SPANS}
+    row = corpus.delex_pairs(spark.createDataFrame([(1, "Ciónosar. Co pays.", "De. Co. pays Acme Corp and Acme $5.")], SCHEMA), ["k"], **how).first()
+    assert row["input"] == "Ciónosar. Co pays." and row["output"] == "[ORG_2] pays [ORG_1] and Acme [AMOUNT_1]."
