@@ -65,6 +65,13 @@ def test_fixed_rounds_the_double_itself(spark):
     assert [(r["a"], r["b"]) for r in row] == [(f"{r['x']:.4f}", f"{r['x']:.6f}") for r in row]
 
 
+def test_numbers_just_beside_a_whole_one(spark):
+    """0.1251 million is 125099.99999999999 as a double."""
+    assert spark.range(1).select(delex.canon_number(F.lit("$0.1251 million"))).first()[0] == "125100"
+    share = delex.groundable_share(delex.spans(F.lit("pays $0.1251 million")), delex.spans(F.lit("pays $125,100.00")))
+    assert spark.range(1).select(share).first()[0] == 1.0
+
+
 def test_plain_rules_see_ascii_alone(spark):
     """The rules of the query's SQL: short names count, accented letters end a word, what is left of a name isn't looked for."""
     how = {"people": lambda t: people(t, catalog.ASCII_PERSON), "cores": False, **catalog.PLAIN_SPANS}
