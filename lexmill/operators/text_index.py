@@ -14,22 +14,28 @@ Null texts have no lexemes; ids are whole numbers and mean one text each (rows o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.english import dictionary, lexemes_of, words_of
+from ..functions.english import STOP, dictionary, lexemes_of, words_of
 from ..scratch import folder
 
 #: Ids of a block; blocks that a search scores first.
 BLOCK, FIRST = 1024, 8
 #: Of the rank: the weight of an occurrence, the largest position, positions kept of a lexeme in a text, and how far apart two may stand.
 WEIGHT, LAST, KEPT, APART = 0.1, 16383, 255, 100
+#: Lists as tasks hand them on: bytes of places in the block (two each), of how many positions each id has and of positions (four each).
+PACKED = "lexeme string, block long, ids binary, counts binary, positions binary"
+#: Postings as they are written: times counts all occurrences.
+LISTS = "lexeme string, block long, n int, most int, times long, ids array<long>, positions array<array<int>>"
 TABLES = {
     "lexicon": "lexeme string, df long, occurrences long",
     "postings": "lexeme string, block long, n int, most int, ids array<long>, positions array<array<int>>, part int",
@@ -54,27 +60,86 @@ def stored(spark: SparkSession, path: str, analyzer: str) -> TextIndex:
     return TextIndex(path, analyzer, lexicon, postings, ranges)
 
 
+def packed(own: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of own between bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * own.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(own))])
+
+
+def listed(names: pa.Array, code: np.ndarray, ids: np.ndarray, pos: np.ndarray, last: bool) -> pa.RecordBatch:
+    """The LISTS, or PACKED ones unless last, of occurrences (code, a place in names; id; position), ordered by code."""
+    order = np.lexsort((pos, ids, code))
+    code, ids, pos = code[order], ids[order], pos[order].astype(np.int32)
+    first = lambda *own: np.flatnonzero(np.concatenate([[True] * (len(own[0]) > 0), np.logical_or.reduce([x[1:] != x[:-1] for x in own])]))
+    at = first(code, ids)
+    code, ids, ends = code[at], ids[at], np.append(at, len(pos)).astype(np.int32)
+    block, long = ids // BLOCK, np.diff(ends)
+    row = first(code, block)
+    bounds = np.append(row, len(at)).astype(np.int32)
+    head = [names.take(pa.array(code[row])), pa.array(block[row], pa.int64())]
+    if not last:
+        own = [packed((ids - block * BLOCK).astype(np.int16), bounds), packed(long, bounds), packed(pos, ends[bounds])]
+        return pa.RecordBatch.from_arrays([*head, *own], ["lexeme", "block", "ids", "counts", "positions"])
+    most, times = (f.reduceat(long, row) if len(row) else long for f in (np.maximum, np.add))
+    positions = pa.ListArray.from_arrays(bounds, pa.ListArray.from_arrays(ends, pa.array(pos)))
+    own = [pa.array(np.diff(bounds), pa.int32()), pa.array(most, pa.int32()), pa.array(times, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int64())), positions]
+    return pa.RecordBatch.from_arrays([*head, *own], ["lexeme", "block", "n", "most", "times", "ids", "positions"])
+
+
+def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PACKED lists of each batch of texts (id, words)."""
+    for batch in batches:
+        n = pc.fill_null(pc.list_value_length(batch["words"]), 0).to_numpy().astype(np.int64)
+        words = batch["words"].flatten().dictionary_encode()
+        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+        yield listed(words.dictionary, words.indices.to_numpy(), np.repeat(batch["id"].to_numpy(), n), pos, False)
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """LISTS of PACKED lists sorted by lexeme and block, those of one lexeme and block as one; of these no more than one is held back."""
+
+    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        names, n = own["lexeme"].dictionary_encode(), pc.binary_length(own["ids"]).to_numpy() // 2
+        ids, counts, pos = (np.frombuffer(b"".join(own[c].to_pylist()), kind) for c, kind in (("ids", np.int16), ("counts", np.int32), ("positions", np.int32)))
+        ids = ids + np.repeat(own["block"].to_numpy() * BLOCK, n)
+        return listed(names.dictionary, np.repeat(np.repeat(names.indices.to_numpy(), n), counts), np.repeat(ids, counts), pos, True)
+
+    held: list[pa.RecordBatch] = []
+    for batch in filter(len, batches):
+        names, block = batch["lexeme"].dictionary_encode().indices.to_numpy(), batch["block"].to_numpy()
+        last = np.flatnonzero((names != names[-1]) | (block != block[-1]))
+        at = int(last[-1]) + 1 if len(last) else 0
+        same = not held or (held[-1]["lexeme"][-1] == batch["lexeme"][0] and held[-1]["block"][-1] == batch["block"][0])
+        if held and (at or not same):
+            yield one([*held, batch.slice(0, at)])
+            held = []
+        elif at:
+            yield one([batch.slice(0, at)])
+        held.append(batch.slice(at))
+    if held:
+        yield one(held)
+
+
 def build(docs: DataFrame, id_col: str = "doc_id", text: str = "text", analyzer: str = "simple", path: str | None = None) -> TextIndex:
-    """Writes the index of docs under path (a new folder of the shared ones by default)."""
+    """Writes the index of docs under path (a new folder of the shared ones by default).
+
+    Tasks make lists of their own texts; what travels are these lists, about four bytes an occurrence, and no row for each. They are written first, since a
+    deal by ranges reads its rows twice."""
     spark = docs.sparkSession
     path = path or folder(spark, "text_index")
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), words_of(F.col(text), analyzer).alias("words"))
-    block = F.floor(F.col("id") / BLOCK).cast("long")
-    found = rows.select("id", F.posexplode("words").alias("pos", "word")).groupBy("word", block.alias("block")).agg(F.collect_list(F.struct("id", (F.col("pos") + 1).alias("pos"))).alias("hits"))
+    found = rows.mapInArrow(inverted, PACKED)
+    if analyzer == "english":
+        found = found.filter(~F.col("lexeme").isin(*sorted(STOP)))
+    found.write.parquet(f"{path}/lists")
+    found = spark.read.schema(PACKED).parquet(f"{path}/lists")
     if analyzer == "english":
-        found.write.parquet(f"{path}/words")
-        found = spark.read.parquet(f"{path}/words")
-        found = found.join(dictionary(found), "word")
-    else:
-        found = found.withColumn("lexeme", F.col("word"))
-    hits = found.select("lexeme", "block", F.explode("hits").alias("hit")).groupBy("lexeme", "block", F.col("hit.id").alias("id")).agg(F.array_sort(F.collect_list("hit.pos")).alias("positions"))
-    lists = hits.groupBy("lexeme", "block").agg(F.array_sort(F.collect_list(F.struct("id", "positions"))).alias("rows"))
-    lists = lists.select("lexeme", "block", F.size("rows").alias("n"), F.array_max(F.transform("rows", lambda r: F.size(r["positions"]))).alias("most"), F.col("rows.id").alias("ids"), F.col("rows.positions").alias("positions"))
-    dealt = lists.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "lexeme", "block").sortWithinPartitions("lexeme", "block")
-    dealt.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{path}/postings")
-    postings = spark.read.schema(TABLES["postings"]).parquet(f"{path}/postings")
-    occurrences = F.aggregate("positions", F.lit(0).cast("long"), lambda s, p: s + F.size(p))
-    postings.groupBy("lexeme").agg(F.sum("n").alias("df"), F.sum(occurrences).alias("occurrences")).write.parquet(f"{path}/lexicon")
+        words = found.withColumnRenamed("lexeme", "word")
+        found = words.join(dictionary(words), "word").select(*found.columns)
+    dealt = found.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "lexeme", "block").sortWithinPartitions("lexeme", "block")
+    dealt.mapInArrow(merged, LISTS).withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{path}/postings")
+    postings = spark.read.schema(f"{LISTS}, part int").parquet(f"{path}/postings")
+    postings.groupBy("lexeme").agg(F.sum("n").alias("df"), F.sum("times").alias("occurrences")).write.parquet(f"{path}/lexicon")
     postings.groupBy("part").agg(F.min("lexeme").alias("low"), F.max("lexeme").alias("high")).write.parquet(f"{path}/ranges")
     return stored(spark, path, analyzer)
 

@@ -104,3 +104,18 @@ def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "the of"), (1, None), (2, ""), (3, "the of the"), (3, "of")], "doc_id long, text string")
     assert [tuple(r) for r in text_index.top(text_index.build(docs), "of the", 5).collect()] == [(3, 4)]
     assert text_index.top(text_index.build(docs.limit(0)), "of the", 5).count() == 0
+
+
+def test_lists_meet_over_batches(spark):
+    """Lists of one lexeme and block that come in several batches, and rows of one id in different tasks, are one list."""
+    import pyarrow as pa
+
+    batch = lambda *rows: pa.RecordBatch.from_pylist([{"id": i, "words": w} for i, w in rows], pa.schema([("id", pa.int64()), ("words", pa.list_(pa.string()))]))
+    parts = list(text_index.inverted(iter([batch((7, ["a", "b", "a"]), (2000, ["b"])), batch((7, ["a"]), (3, None), (5, ["a"])), batch()])))
+    rows = sorted((r for p in parts for r in p.to_pylist()), key=lambda r: (r["lexeme"], r["block"]))
+    whole = pa.RecordBatch.from_pylist(rows, parts[0].schema)
+    for size in (1, 2, 9):
+        own = [r for p in text_index.merged(whole.slice(i, size) for i in range(0, len(whole), size)) for r in p.to_pylist()]
+        assert [(r["lexeme"], r["block"], r["n"], r["most"], r["times"], r["ids"], r["positions"]) for r in own] == [("a", 0, 2, 3, 4, [5, 7], [[1], [1, 1, 3]]), ("b", 0, 1, 1, 1, [7], [[2]]), ("b", 1, 1, 1, 1, [2000], [[1]])]
+    docs = spark.createDataFrame([(1, "x y"), (1, "y"), (1025, "y x")], "doc_id long, text string").repartition(3)
+    assert sorted((r["lexeme"], r["block"], r["positions"]) for r in text_index.build(docs).postings.collect()) == [("x", 0, [[1]]), ("x", 1, [[2]]), ("y", 0, [[1, 2]]), ("y", 1, [[1]])]
