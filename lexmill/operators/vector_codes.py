@@ -23,8 +23,8 @@ from .vector_index import unit
 SAMPLE, POINTS, ROUNDS = 20_000, 256, 15
 #: The share of a vector's bytes that its code takes, and of all vectors that are compared exactly, which are MOST at most.
 SHARE, AGAIN, MOST = 0.047, 0.05, 400
-#: Queries of one pass over the codes.
-PASS = 2048
+#: Queries of one pass over the codes; queries and codes that a task compares at once.
+PASS, ASKED, CODES = 2048, 256, 4096
 
 
 def bytes_of(dimensions: int, width: int = 4) -> int:
@@ -73,6 +73,31 @@ def encode(vectors: DataFrame, key: str, embedding: str, points: list[np.ndarray
     return vectors.filter(F.col(embedding).isNotNull()).select(key, codes(F.col(embedding)).alias("code"))
 
 
+def best_codes(batches: Iterator[pa.RecordBatch], names: np.ndarray, table: list[np.ndarray], key: str, again: int) -> Iterator[pa.RecordBatch]:
+    """query, key, like: the `again` best of all codes for each of the queries (names), whose products with the points are in table."""
+    # The best so far of each query, and beside them room for the next codes of a block of queries.
+    keys, likes, n = np.zeros((len(names), again), np.int64), np.full((len(names), again), -np.inf, np.float32), 0
+    for batch in batches:
+        for at in range(0, len(batch), CODES):
+            part = batch.slice(at, CODES)
+            code = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(len(part), -1)
+            own = part[key].to_numpy()
+            n += len(own)
+            for q in range(0, len(names), ASKED):
+                rows = slice(q, q + ASKED)
+                like = np.zeros((len(names[rows]), len(own)), np.float32)
+                for j, t in enumerate(table):
+                    like += t[rows][:, code[:, j]]
+                all_likes = np.concatenate([likes[rows], like], axis=1)
+                best = np.argpartition(-all_likes, again - 1, axis=1)[:, :again]
+                likes[rows] = np.take_along_axis(all_likes, best, 1)
+                keys[rows] = np.where(best < again, np.take_along_axis(keys[rows], np.minimum(best, again - 1), 1), own[np.maximum(best - again, 0)])
+    for q in range(0, len(names) if n else 0, ASKED):
+        rows = slice(q, q + ASKED)
+        have = likes[rows] > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[rows, None], have.shape)[have]), pa.array(keys[rows][have]), pa.array(likes[rows][have])], ["query", key, "like"])
+
+
 def candidates(codes: DataFrame, asked: list[tuple[int, list[float]]], key: str, points: list[np.ndarray], again: int) -> DataFrame:
     """query, key of the `again` codes most like each asked (query, vector): each task keeps that many a query before they meet."""
     cuts = cuts_of(points)
@@ -80,22 +105,7 @@ def candidates(codes: DataFrame, asked: list[tuple[int, list[float]]], key: str,
     table = [(vectors[:, lo:hi] @ p.T).astype(np.float32) for p, lo, hi in zip(points, cuts, cuts[1:])]
     names = np.array([q for q, _ in asked], dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, likes = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0), np.float32)
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
-                code = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(len(part), -1)
-                like = sum(t[:, code[:, j]] for j, t in enumerate(table))
-                own = np.broadcast_to(part[key].to_numpy(), like.shape)
-                keys, likes = np.concatenate([keys, own], axis=1), np.concatenate([likes, like], axis=1)
-                if likes.shape[1] > again:
-                    best = np.argpartition(-likes, again - 1, axis=1)[:, :again]
-                    keys, likes = np.take_along_axis(keys, best, 1), np.take_along_axis(likes, best, 1)
-        n = likes.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(keys.reshape(-1)), pa.array(likes.reshape(-1))], ["query", key, "like"])
-
-    best = codes.select(F.col(key).cast("long"), "code").mapInArrow(run, f"query long, {key} long, like float")
+    best = codes.select(F.col(key).cast("long"), "code").mapInArrow(lambda batches: best_codes(batches, names, table, key, again), f"query long, {key} long, like float")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("like"), key))
     return best.withColumn("at", place).filter(F.col("at") <= again).select("query", key)
 

@@ -50,3 +50,25 @@ def test_edges(spark):
     assert sorted((r["query"], r["place"], r["vec_id"], round(r["similarity"], 3)) for r in got) == [(1, 1, 5, 1.0), (1, 2, 2, 0.994), (4, 1, 1, 0.0), (4, 2, 2, 0.0)]
     empty = rows.limit(0)
     assert vector_codes.search(empty.select("vec_id", F.lit(b"").alias("code")), empty, asked, "vec_id", "embedding", vector_codes.fit(empty, "vec_id", "embedding"), 2).count() == 0
+
+
+def test_best_codes_in_bounded_memory():
+    """2,048 queries over 16,384 codes: a task holds the best codes and one block, and finds what a sort of all likenesses finds."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    chance = np.random.default_rng(1)
+    table, code = [chance.random((2048, 256), np.float32) for _ in range(2)], chance.integers(0, 256, (16384, 2)).astype(np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(16384)), pa.array([c.tobytes() for c in code])], ["id", "code"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(vector_codes.best_codes(iter([batch]), np.arange(2048), table, "id", 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6 and len(got) == 2048 * 20
+    for q in (0, 255, 256, 2047):
+        like = table[0][q][code[:, 0]] + table[1][q][code[:, 1]]
+        mine = got.filter(pc.equal(got["query"], q))
+        assert np.allclose(np.sort(mine["like"].to_numpy()), np.sort(like)[-20:]) and np.allclose(like[mine["id"].to_numpy()], mine["like"].to_numpy())
+    assert sum(map(len, vector_codes.best_codes(iter([batch.slice(0, 7)]), np.arange(3), [t[:3] for t in table], "id", 20))) == 21
