@@ -50,3 +50,18 @@ def test_empty(spark):
     assert V.build(df, "vec_id", "embedding", centres).count() == 0
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query long, vector array<double>")
     assert V.search(V.build(df, "vec_id", "embedding", centres), asked, "vec_id", "embedding", centres, 3, V.probes(centres)).count() == 0
+
+
+def test_cells_are_compared_in_blocks():
+    """A cell larger than a block: the same rows as a sort of all; equal vectors by key, a query not with itself."""
+    import pyarrow as pa
+
+    rows = np.random.default_rng(2).normal(size=(9000, 8))
+    rows[5000:] = rows[:4000]
+    table = lambda name, ids: pa.table({name: pa.array(ids), "vector": pa.array([rows[i].tolist() for i in ids])})
+    got = V.alike_of(table("query", list(range(300))), table("key", list(range(9000))), 3).to_pandas()
+    sized = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for q in (0, 255, 299):
+        like = np.round(sized @ sized[q], 12)
+        order = [i for i in np.lexsort((np.arange(9000), -like)) if i != q][:3]
+        assert got[got["query"] == q]["key"].tolist() == order and order[0] == q + 5000
