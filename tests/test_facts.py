@@ -210,3 +210,23 @@ def test_matches_are_those_of_all_pairs(spark):
                 key = (a["doc"], a["kind"], (a["num"], a["text"], a["step"]), (b["num"], b["text"], b["step"]))
                 want[key] = min(want.get(key, b["ord"]), b["ord"])
     assert got == {(*k, o) for k, o in want.items()} and len(got) > 20
+
+
+def test_short_documents_meet_inside_their_rows(spark, monkeypatch):
+    """No join and one shuffle at most for short texts, and the items that the joins for long ones give."""
+    price = "at $4.55 per share, or 1,000 units at $2,000, 12.5% to Acme Inc. on May 3, 2024"
+    texts = [
+        (1, f"issued 8,500,000 shares {price} for $38,675,000, $2,000,000 and $2 million", f"{price} for $38,675,000 and a maximum of $7, $7 and $8 debt", [(Decimal(2_000_000), "= given")]),
+        (2, "pays $5 million to Acme Holdings Inc. and Zed Corp.", "the ACME holdings pay 5,000,000 shares, $5,000,100 of debt", None),
+        (3, "$" + "9" * 40 + " and $1", "$" + "9" * 40, []),
+        (4, None, "a maximum of $3", None),
+        (5, "$3", None, None),
+    ]
+    docs = spark.createDataFrame(texts, "doc long, draft string, source string, derived array<struct<value:decimal(28,6),desc:string>>")
+    how = {"must_disclose": ["maximum", "debt"]}
+    items = lambda: {tuple(r) for r in reconcile.reconcile_items(docs, **how).collect()}
+    plan = reconcile.verdicts(docs, **how)._jdf.queryExecution().executedPlan().toString()
+    short = items()
+    assert "Join" not in plan and plan.count("Exchange") <= 1
+    monkeypatch.setattr(reconcile, "SHORT", (-1, -1))
+    assert short == items() and {r[5] for r in short} == {"matched", "derived", "fabricated", "omitted"}
