@@ -12,6 +12,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import bound
 from ..functions.text import is_missing, verify_quote, windows
 from ..providers import STUB
 from ..scratch import written
@@ -43,9 +44,9 @@ class SentenceChat:
         return json.dumps({"clauses": out})
 
 
-def cut_up(docs: DataFrame) -> DataFrame:
-    """doc, window (its start), text."""
-    return docs.select("doc", F.inline(windows(F.coalesce("text", F.lit("")), WIDTH, OVERLAP))).select("doc", F.col("start").alias("window"), F.col("window").alias("text"))
+def cut_up(docs: DataFrame, *more: str) -> DataFrame:
+    """doc, window (its start), text and the columns more of docs."""
+    return docs.select("doc", *more, F.inline(windows(F.coalesce("text", F.lit("")), WIDTH, OVERLAP))).select("doc", F.col("start").alias("window"), F.col("window").alias("text"), *more)
 
 
 def answers(rows: DataFrame, ledger: Ledger, model: Chat, task: str) -> DataFrame:
@@ -62,16 +63,21 @@ def first_found(rows: DataFrame) -> DataFrame:
 
 
 def clauses(docs: DataFrame, checklist: list[str], ledger: Ledger, model: Chat) -> DataFrame:
-    """doc, name, value, quote, verified, repaired: a row for each of the docs (doc, text) and each clause of the checklist."""
-    parts = written(cut_up(docs), "windows")
+    """doc, name, value, quote, verified, repaired: a row for each of the docs (doc, text) and each clause of the checklist.
+
+    A text meets what was said of it once for all clauses, and the second pass cuts it up where that stands beside it.
+    """
     names = F.array(*map(F.lit, checklist))
-    found = first_found(answers(parts.withColumn("names", names), ledger, model, "clauses"))
-    every = docs.select("doc", "text", F.explode(names).alias("name"))
-    checked = every.join(found, ["doc", "name"], "left").withColumn("verified", verify_quote(F.coalesce("quote", F.lit("")), F.coalesce("text", F.lit(""))))
-    checked = written(checked.drop("text"), "first_pass")
-    doubtful = checked.filter(is_missing(F.coalesce("value", F.lit(""))) | ~F.col("verified")).groupBy("doc").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    again = answers(parts.join(doubtful, "doc"), ledger, model, "repair")
-    again = again.join(docs.select("doc", "text"), "doc").filter(~is_missing(F.col("value")) & verify_quote(F.col("quote"), F.col("text")))
+    found = first_found(answers(cut_up(docs).withColumn("names", names), ledger, model, "clauses"))
+    found = found.groupBy("doc").agg(F.collect_list(F.struct("name", "value", "quote")).alias("found"))
+    own = lambda n: F.get(F.filter("found", lambda f: f["name"] == n), 0)
+    check = lambda n, f: F.struct(n.alias("name"), f["value"].alias("value"), f["quote"].alias("quote"), verify_quote(F.coalesce(f["quote"], F.lit("")), F.coalesce("text", F.lit(""))).alias("verified"))
+    said = F.transform(names, lambda n: bound(own(n), lambda f: check(n, f)))
+    first = written(docs.join(found, "doc", "left").select("doc", "text", said.alias("said")), "first_pass")
+    checked = first.select("doc", F.inline("said"))
+    doubtful = F.array_sort(F.transform(F.filter("said", lambda s: is_missing(F.coalesce(s["value"], F.lit(""))) | ~s["verified"]), lambda s: s["name"]))
+    again = answers(cut_up(first.select("doc", "text", doubtful.alias("names")).filter(F.size("names") > 0), "names"), ledger, model, "repair")
+    again = again.filter(~is_missing(F.col("value"))).join(first.select("doc", "text"), "doc").filter(verify_quote(F.col("quote"), F.col("text")))
     again = again.groupBy("doc", "name").agg(F.min_by(F.struct("value", "quote"), "window").alias("new"))
     took = F.col("new").isNotNull()
     value, quote = (F.coalesce(F.col(f"new.{c}"), F.col(c), F.lit(d)).alias(c) for c, d in (("value", NOT_FOUND), ("quote", "")))

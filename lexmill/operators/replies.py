@@ -46,7 +46,9 @@ class Ledger:
     def ask(self, rows: DataFrame, model: Chat, task: str, version: str, text: str) -> DataFrame:
         """rows with reply (null where the model failed or text is null) and reply_error; asks what the ledger doesn't know, TRIES times with a growing pause."""
         keyed = rows.withColumn("__key", address(task, version, F.col(text)))
-        todo = keyed.filter(F.col(text).isNotNull()).select(F.col("__key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+        todo = keyed.filter(F.col(text).isNotNull()).select(F.col("__key").alias("key"), F.col(text).alias("text"))
+        # Prompts are shuffled once: into so many tasks, each of which commits its own replies.
+        todo = todo.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key"])
         todo = todo.join(self.known(), "key", "left_anti")
         pause = self.pause
 
@@ -65,8 +67,6 @@ class Ledger:
                 said = [one(p) for p in part["text"]]
                 yield pd.DataFrame({"key": part["key"], "task": task, "version": version, "reply": [r for r, _ in said], "error": [e for _, e in said]})
 
-        # So many tasks, each of which commits its own replies.
-        todo = todo.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("key"))
         todo.mapInPandas(batches, LEDGER).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{self.path}/{task}-{uuid.uuid4().hex}")
         last = self.rows().groupBy("key").agg(F.min("reply").alias("reply"), F.max("error").alias("error"))
         met = keyed.join(last, F.col("__key") == F.col("key"), "left")

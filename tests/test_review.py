@@ -67,3 +67,11 @@ def test_gate_and_summaries(spark, tmp_path):
     R.clauses(docs, ["term", "termination", "law"], ledger, R.SentenceChat()).collect()
     assert ledger.rows().count() == asked
     assert R.clauses(docs.limit(0), ["term"], ledger, R.SentenceChat()).count() == 0 and R.summary(docs.filter(F.lit(False)), ledger, R.SentenceChat()).count() == 0
+
+
+def test_a_text_is_kept_once_for_all_clauses(spark, tmp_path, monkeypatch):
+    kept, written = {}, R.written
+    monkeypatch.setattr(R, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    docs = spark.createDataFrame([(1, "Term is two years. Law of Ohio"), (2, "No such thing")], "doc long, text string")
+    assert R.clauses(docs, ["term", "law", "fee"], Ledger(spark, f"{tmp_path}/ledger", pause=0.0), R.SentenceChat()).filter("verified").count() == 2
+    assert {name: df.count() for name, df in kept.items()} == {"first_pass": 2}
