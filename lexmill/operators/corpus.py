@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import delex as D
 from ..functions.text import RUBRIC, band, squeeze
+from ..scratch import spread
 from .state import numbered
 
 # The classes of exhibits that an item's text can be paired with, in order of preference.
@@ -112,7 +113,7 @@ def metric_means(rows: DataFrame, by: str, metrics: list[str]) -> DataFrame:
 
 def delex_round_trip(docs: DataFrame) -> DataFrame:
     """doc, n_placeholders, same: texts delexicalised, filled in again and compared, white space apart."""
-    found = docs.select("doc", "source", D.spans(F.col("source")).alias("spans"))
+    found = spread(docs.select("doc", "source")).select("doc", "source", D.spans(F.col("source")).alias("spans"))
     made = found.select("doc", "source", D.delex(F.col("source"), F.col("spans")).alias("made"))
     back = made.select("doc", "source", F.col("made.skeleton").alias("skeleton"), D.backfill(F.col("made.skeleton"), F.col("made.surfaces")).alias("back"))
     same = (squeeze(F.col("back.text")) == squeeze(F.col("source"))) & (F.size("back.missing") == 0)
