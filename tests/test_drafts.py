@@ -106,3 +106,8 @@ def test_split_by_group(spark):
     assert once == again and sorted(once) == list(range(40)) and list(once.values()).count("val") == 4
     assert [r.split for r in corpus.split_by_group(pairs.filter("g = 3"), "g", 0.12, 7).collect()] == ["val"]
     assert corpus.split_by_group(pairs.limit(0), "g", 0.12, 7).count() == 0
+
+
+def test_round_trip_of_one_file_runs_in_all_tasks(spark):
+    docs = spark.createDataFrame([(1, "On May 3, 2026, Acme Inc. paid $5."), (2, None)], "doc long, source string").coalesce(1)
+    assert corpus.delex_round_trip(docs).rdd.getNumPartitions() == 4
