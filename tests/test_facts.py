@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import delex, facts, text as X
 from lexmill.operators import access, filing, reconcile, review, state
+from lexmill.plans import catalog
 from lexmill.providers import HashEmbedder, OverlapReranker, rerank_or_keep
 
 ACT = "under Item 1.01, Rule 3b-7 and Section 18 of the Exchange Act"
@@ -230,3 +231,28 @@ def test_short_documents_meet_inside_their_rows(spark, monkeypatch):
     assert "Join" not in plan and plan.count("Exchange") <= 1
     monkeypatch.setattr(reconcile, "SHORT", (-1, -1))
     assert short == items() and {r[5] for r in short} == {"matched", "derived", "fabricated", "omitted"}
+
+
+@pytest.mark.parametrize("query", ["figure_lock", "reconcile_verdict"])
+def test_orders_are_shuffled_and_not_their_texts(spark, tmp_path, monkeypatch, query):
+    """One exchange of the orders deals them out and serves the join, whether it is a broadcast or a shuffled one; long texts beside change no row."""
+    orders = spark.range(40).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "1000D + id AS o_totalprice", "timestamp_ntz'2024-05-03 00:00:00' AS o_orderdate")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    names = "if(id = 3, concat('Customer#', repeat('x', 1000)), concat('Customer#', id))"
+    spark.range(0, 7, 1, 1).selectExpr("id AS c_custkey", f"{names} AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = lambda: catalog.QUERIES[query](spark, str(tmp_path))
+    bad = lambda n: n % 5 in (2, 3)
+    want = [(n, bad(n), int(bad(n))) if query == "figure_lock" else (n, "blocked" if bad(n) else "clean") for n in range(40)]
+    assert sorted(map(tuple, rows().collect())) == want
+    monkeypatch.setattr(reconcile, "SHORT", (10**6, 10**6))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold, exchanges in ((before, 1), ("-1", 2)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            found = rows()
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            got = sorted(map(tuple, found.collect()))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert plan.count("Exchange hashpartitioning") == exchanges and "RoundRobin" not in plan
+        assert got == want
