@@ -130,7 +130,8 @@ def delex_pairs(pairs: DataFrame, keys: list[str], people: Callable[[Column], Co
     return made.select(*keys, F.get("made.skeletons", 0).alias("input"), F.get("made.skeletons", 1).alias("output"), F.col("made.surfaces").alias("surfaces"))
 
 
-def groundable_texts(docs: DataFrame, least: float = 0.9) -> DataFrame:
-    """doc, share, kept: the share of the spans of a draft that its source has."""
-    found = docs.select("doc", D.spans(F.col("source")).alias("s"), D.spans(F.col("draft")).alias("d"))
-    return found.select("doc", D.groundable_share(F.col("s"), F.col("d")).alias("share")).withColumn("kept", F.col("share") >= least)
+def groundable_texts(docs: DataFrame, least: float = 0.9, dealt: bool = False) -> DataFrame:
+    """doc, share, kept: the share of the spans of a draft that its source has. dealt: docs are dealt out over all tasks already."""
+    rows = docs.select("doc", "source", "draft")
+    share = D.groundable_share(D.spans(F.col("source")), D.spans(F.col("draft")))
+    return (rows if dealt else spread(rows)).select("doc", share.alias("share")).withColumn("kept", F.col("share") >= least)

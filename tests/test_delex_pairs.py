@@ -2,9 +2,10 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import boilerplate, delex, facts
+from lexmill.functions import boilerplate, delex, facts, spans
 from lexmill.functions import text as X
 from lexmill.operators import corpus
 from lexmill.plans import catalog
@@ -77,3 +78,37 @@ def test_plain_rules_see_ascii_alone(spark):
     how = {"people": lambda t: people(t, catalog.ASCII_PERSON), "cores": False, **catalog.PLAIN_SPANS}
     row = corpus.delex_pairs(spark.createDataFrame([(1, "Ciónosar. Co pays.", "De. Co. pays Acme Corp and Acme $5.")], SCHEMA), ["k"], **how).first()
     assert row["input"] == "Ciónosar. Co pays." and row["output"] == "[ORG_2] pays [ORG_1] and Acme [AMOUNT_1]."
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_are_worked_out_once(spark):
+    """A number's value takes three patterns and stands in thirty places of what is said of it."""
+    made = spark.createDataFrame([("$5 million",)], "t string").select(delex.canon_number(F.col("t")).alias("n"))
+    assert plan_of(made).count("regexp_replace") <= 4 and made.first()[0] == "5000000"
+
+
+def test_patterns_go_over_a_text_once(spark):
+    """Also where a text has the character that parts its matches from the rest."""
+    texts = ["", "none", "$5", "a $5", "$5 b", "a $5 and $6", f"a {spans.MARK}$5{spans.MARK} and $6{spans.MARK}", "é $5 " * 200, None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans.matches(F.col("t"), r"\$\d").alias("m"), spans.blanked(F.col("t"), r"\$\d").alias("b"))
+    assert plan_of(found.select("m")).count("regexp_extract_all") == 1
+    for r in found.collect():
+        assert [(m["pos"], m["raw"]) for m in r["m"]] == [(m.start(), m.group()) for m in re.finditer(r"\$\d", r["t"] or "")]
+        assert r["b"] == (r["t"] and re.sub(r"\$\d", "  ", r["t"]))
+
+
+def test_texts_of_one_file_are_compared_in_all_tasks(spark):
+    docs = spark.createDataFrame([(1, "paid $5 on May 3, 2024", "$5 million and $5"), (2, None, "$5"), (3, "x", None)], "doc long, source string, draft string").coalesce(1)
+    made = corpus.groundable_texts(docs)
+    assert made.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, made.collect())) == [(1, 0.5, False), (2, 0.0, False), (3, 1.0, True)]
+
+
+@pytest.mark.parametrize("query", ["groundable_texts"])
+def test_orders_are_dealt_before_their_texts(spark, query):
+    """The orders' columns alone go through a shuffle, by the key of the join that follows."""
+    plan = plan_of(catalog.QUERIES[query](spark, SF))
+    assert plan.count("Exchange hashpartitioning(o_custkey") == 1 and "RoundRobin" not in plan and plan.count("Exchange") - plan.count("BroadcastExchange") == 1
