@@ -111,13 +111,14 @@ def metric_means(rows: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(m).alias(m) for m in metrics))
 
 
-def delex_round_trip(docs: DataFrame) -> DataFrame:
-    """doc, n_placeholders, same: texts delexicalised, filled in again and compared, white space apart."""
-    found = spread(docs.select("doc", "source")).select("doc", "source", D.spans(F.col("source")).alias("spans"))
+def delex_round_trip(docs: DataFrame, dealt: bool = False) -> DataFrame:
+    """doc, n_placeholders, same: texts delexicalised, filled in again and compared, white space apart. dealt: docs are dealt out over all tasks already."""
+    rows = docs.select("doc", "source")
+    found = (rows if dealt else spread(rows)).select("doc", "source", D.spans(F.col("source")).alias("spans"))
     made = found.select("doc", "source", D.delex(F.col("source"), F.col("spans")).alias("made"))
     back = made.select("doc", "source", F.col("made.skeleton").alias("skeleton"), D.backfill(F.col("made.skeleton"), F.col("made.surfaces")).alias("back"))
-    same = (squeeze(F.col("back.text")) == squeeze(F.col("source"))) & (F.size("back.missing") == 0)
-    return back.select("doc", F.regexp_count("skeleton", F.lit(D.PLACEHOLDER)).alias("n_placeholders"), same.alias("same"))
+    alike = (F.col("back.text") == F.col("source")) | (squeeze(F.col("back.text")) == squeeze(F.col("source")))
+    return back.select("doc", F.regexp_count("skeleton", F.lit(D.PLACEHOLDER)).alias("n_placeholders"), (alike & (F.size("back.missing") == 0)).alias("same"))
 
 
 def delex_pairs(pairs: DataFrame, keys: list[str], people: Callable[[Column], Column] | None = None, cores: bool = True, **how) -> DataFrame:

@@ -107,8 +107,19 @@ def test_texts_of_one_file_are_compared_in_all_tasks(spark):
     assert sorted(map(tuple, made.collect())) == [(1, 0.5, False), (2, 0.0, False), (3, 1.0, True)]
 
 
-@pytest.mark.parametrize("query", ["groundable_texts"])
+@pytest.mark.parametrize("query", ["groundable_texts", "delex_round_trip"])
 def test_orders_are_dealt_before_their_texts(spark, query):
     """The orders' columns alone go through a shuffle, by the key of the join that follows."""
     plan = plan_of(catalog.QUERIES[query](spark, SF))
     assert plan.count("Exchange hashpartitioning(o_custkey") == 1 and "RoundRobin" not in plan and plan.count("Exchange") - plan.count("BroadcastExchange") == 1
+
+
+def test_many_values_of_two_kinds(spark):
+    """Values are numbered by kind from the text's end; a name that stands in no text any more has no pattern made for it."""
+    text = " ".join(f"${i} and {i} percent" for i in range(60)) + " to Acme Corp by Acme, Acmes and $7."
+    row = spark.createDataFrame([(text,)], "t string").select("t", delex.spans(F.col("t")).alias("s")).select(delex.delex(F.col("t"), F.col("s")).alias("d"), F.size("s").alias("n")).first()
+    keys = re.findall(r"\[\w+\]", row["d"]["skeleton"])
+    order = [f"${i}" for i in (7, *(i for i in range(59, -1, -1) if i != 7))]
+    assert row["n"] == 122 and keys[:4] == [f"[AMOUNT_{order.index('$0') + 1}]", "[PCT_60]", f"[AMOUNT_{order.index('$1') + 1}]", "[PCT_59]"]
+    assert row["d"]["skeleton"].endswith("to [ORG_1] by [ORG_1], Acmes and [AMOUNT_1].") and len(row["d"]["surfaces"]) == 121
+    assert {k: v for k, v in row["d"]["surfaces"].items() if k.startswith("[AMOUNT")} == {f"[AMOUNT_{i}]": v for i, v in enumerate(order, 1)}
